@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import replies as R
@@ -49,13 +49,17 @@ def prompt_table(df: DataFrame, target: str, template: str | None = None) -> Dat
 def parse_replies(df: DataFrame, target: str) -> DataFrame:
     """Add ``y_pred`` (NULL unless usable) and ``status`` to ``reply, finish_reason`` rows."""
     key = KEYS[check_target(target)]
-    parsed = df.withColumn("_fields", R.reply_object(F.col("reply")))
-    parsed = parsed.withColumn("y_pred", R.value_label(R.keyed_value(F.col("_fields"), key)))
-    status = R.reply_status(F.col("reply"), F.col("finish_reason"), F.col("_fields"),
-                            F.col("y_pred"), key)
-    return (parsed.withColumn("status", status)
-            .withColumn("y_pred", F.when(F.col("status") == R.OK, F.col("y_pred")))
-            .drop("_fields"))
+    reply, reason = F.col("reply"), F.col("finish_reason")
+
+    def outcome(fields: Column) -> Column:
+        label = R.value_label(R.keyed_value(fields, key))
+        return F.struct(label.alias("y_pred"),
+                        R.reply_status(reply, reason, fields, label, key).alias("status"))
+
+    # The lambda binds the parsed object, so a reply is parsed once however often it is used.
+    parsed = df.withColumn("_out", F.transform(F.array(R.reply_object(reply)), outcome)[0])
+    usable = F.when(F.col("_out.status") == R.OK, F.col("_out.y_pred"))
+    return parsed.withColumns({"y_pred": usable, "status": F.col("_out.status")}).drop("_out")
 
 
 def retry_table(parsed: DataFrame, default_limit: int = 512, cap: int = 2048) -> DataFrame:

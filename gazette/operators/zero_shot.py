@@ -51,20 +51,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest_prototype(df: DataFrame, vector: str, prototypes: DataFrame, label: str) -> DataFrame:
-    """Add ``candidate`` and ``score``: the label whose prototype is most similar.
+def nearest_prototype(df: DataFrame, vector: str, prototypes: DataFrame, label: str,
+                      by: Sequence[str] = ("id",)) -> DataFrame:
+    """``by..., candidate, score``: the label whose prototype is most similar to the vector.
 
-    Prototypes number one per candidate label, so they travel as one array value and no pair
-    ever leaves its row.
+    There is one prototype per candidate label, so all of them travel as one array value; the
+    pairs of a row are made and reduced in the task that holds the row.
     """
     listed = prototypes.agg(F.array_sort(F.collect_list(F.struct(label, "prototype")))).scalar()
-    score = F.transform(listed, lambda e: F.struct(
-        cosine(F.col(vector), e["prototype"]).alias("score"), (-e[label]).alias("tie"),
-        e[label].alias("candidate")))
-    best = F.array_max(score)
-    return df.withColumn("_best", best).select(
-        *df.columns, F.col("_best.candidate").alias("candidate"),
-        F.col("_best.score").alias("score"))
+    pairs = df.select(*by, vector, F.posexplode(listed).alias("label_index", "_p"))
+    scored = pairs.select(*by, "label_index", F.col(f"_p.{label}").alias("candidate"),
+                          cosine(F.col(vector), F.col("_p.prototype")).alias("score"))
+    return best_label(scored, by)
 
 
 def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series],
