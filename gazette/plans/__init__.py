@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gazette.plans import base, cleaning, exploration, labelling, scoring  # noqa: F401
+from gazette.plans import base, cleaning, exploration, labelling, scoring, texts  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:
