@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +15,11 @@ from gazette.functions.text import token_count
 from gazette.operators.ordering import (
     exact_quantiles,
     join_groups,
+    quantiles_of_counts,
     ranks_of_counts,
     value_counts,
 )
+from gazette.sources.scratch import written
 
 # The numeric columns looked at, and the whisker length of a box plot.
 NUMERIC_COLUMNS = ("year", "political", "domestic", "desc_tokens", "headline_tokens")
@@ -62,19 +65,24 @@ def positive_rates(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_rate") for c in labels])
 
 
-def label_distribution(df: DataFrame, label: str) -> DataFrame:
-    """``label, n, share``; shares need the total of a handful of rows."""
+def _class_counts(df: DataFrame, label: str) -> DataFrame:
+    """``label, n, rows, classes``: one scan, then a window over one row per class."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    whole = W.partitionBy(F.lit(0))
+    return counts.withColumns({"rows": F.sum("n").over(whole),
+                               "classes": F.count("*").over(whole)})
+
+
+def label_distribution(df: DataFrame, label: str) -> DataFrame:
+    """``label, n, share``."""
+    return _class_counts(df, label).select("label", "n", (F.col("n") / F.col("rows"))
+                                           .alias("share"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weights: n / (classes x n of the class)."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    whole = df.agg(F.count("*").alias("rows"), F.countDistinct(label).alias("classes"))
-    weight = whole.select((F.col("rows") / F.col("classes")).alias("w")).scalar() / F.col("n")
-    return counts.withColumn("weight", weight)
+    """Balanced weights: rows / (classes x rows of the class)."""
+    weight = F.col("rows") / F.col("classes") / F.col("n")
+    return _class_counts(df, label).select("label", "n", weight.alias("weight"))
 
 
 def year_stats(view: DataFrame) -> DataFrame:
@@ -107,8 +115,9 @@ def describe(view: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataF
 
 def box_stats(view: DataFrame, value: str, label: str) -> DataFrame:
     """Quartiles per label and whiskers: the outermost values within 1.5 box lengths."""
-    counted = value_counts(view, value, [label])
-    quartiles = exact_quantiles(view, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [label])
+    counted = written(value_counts(view, value, [label]), "value-counts")
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = quantiles_of_counts(counted, value, shares, [label])
     reach = (F.col("q3") - F.col("q1")) * WHISKER
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return join_groups(counted, quartiles, [label]).filter(inside).groupBy(
@@ -167,7 +176,7 @@ def spearman(view: DataFrame, labels: Sequence[str] = LABELS, features: Sequence
              ) -> DataFrame:
     """Rank correlation of every label with every feature, ties at their mean rank."""
     by = ["label", "feature"]
-    pairs = _label_feature_pairs(view, labels, features)
+    pairs = written(_label_feature_pairs(view, labels, features), "value-pairs")
 
     def ranks(value: str, name: str) -> DataFrame:
         # Ranks of a value from the counts of all smaller values.
@@ -210,32 +219,33 @@ def association_tests(view: DataFrame) -> DataFrame:
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """``chi2, dof, p, phi, n`` of two labels; Yates' correction when the table is 2 x 2.
 
-    One pass counts the pairs; the rest runs on the cells of the table.
+    One pass counts the pairs of values. All the rest, the grid of expected counts included,
+    has classes x classes rows.
     """
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    rows = cells.groupBy("a").agg(F.sum("n").alias("row_n"))
-    columns = cells.groupBy("b").agg(F.sum("n").alias("col_n"))
-    whole = cells.agg(F.sum("n").alias("n"), F.countDistinct("a").alias("ra"),
-                      F.countDistinct("b").alias("rb"))
-    dof = whole.select((F.col("ra") - 1) * (F.col("rb") - 1)).scalar()
-    total = whole.select("n").scalar()
-    # Chi-square = sum (o-e)^2 / e over all cells. Empty cells add e each, so they are the
-    # total minus the expectations of the occupied cells. With Yates' correction on a 2 x 2
-    # table an empty cell counts (e - min(0.5, e))^2 / e; both need the full grid, which is
-    # classes x classes.
+    cells = written(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+                    .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
+                    .agg(F.count("*").alias("o")), "crosstab")
+    rows = cells.groupBy("a").agg(F.sum("o").alias("row_n"))
+    columns = cells.groupBy("b").agg(F.sum("o").alias("col_n"))
+    n, x, y = F.sum("o").cast("double"), F.col("a").cast("double"), F.col("b").cast("double")
+    covariance = n * F.sum(F.col("o") * x * y) - F.sum(F.col("o") * x) * F.sum(F.col("o") * y)
+    whole = cells.agg(
+        F.sum("o").alias("n"), F.signum(covariance).alias("sign"),
+        ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("dof"))
+    n, sign, dof = (whole.select(c).scalar() for c in ("n", "sign", "dof"))
+    # Every row value meets every column value, also where no pair was counted.
     grid = (rows.select("a", "row_n", F.explode(_collected(columns, "b", "col_n")).alias("c"))
             .select("a", "row_n", F.col("c.b").alias("b"), F.col("c.col_n").alias("col_n")))
-    filled = grid.join(cells, ["a", "b"], "left").withColumn("o", F.coalesce("n", F.lit(0)))
-    e = F.col("row_n").cast("double") * F.col("col_n") / total
-    gap = F.abs(F.col("o") - e)
+    filled = grid.join(cells, ["a", "b"], "left")
+    expected = F.col("row_n").cast("double") * F.col("col_n") / n
+    gap = F.abs(F.coalesce("o", F.lit(0)) - expected)
     shift = F.when(dof == 1, F.least(F.lit(0.5), gap)).otherwise(F.lit(0.0))
-    result = filled.agg(F.sum((gap - shift) * (gap - shift) / e).alias("chi2"))
-    sign = F.signum(df.agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).scalar())
+    result = filled.agg(F.sum((gap - shift) * (gap - shift) / expected).alias("chi2"))
     return result.select(
         "chi2", dof.cast("int").alias("dof"),
         chi_square_p_value("chi2", dof.cast("double")).alias("p"),
-        (sign * F.sqrt(F.col("chi2") / total)).alias("phi"),
-        total.alias("n"))
+        (sign * F.sqrt(F.col("chi2") / n)).alias("phi"),
+        n.alias("n"))
 
 
 def _collected(df: DataFrame, *columns: str):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gazette.functions import scores as S
 from gazette.functions.text import short_text
 from gazette.operators.ordering import join_groups, running_totals, with_ranges
+from gazette.sources.scratch import written
 
 # Rows of an error table, and its columns.
 ERROR_ROWS = 20
@@ -118,23 +119,29 @@ def score_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("y_true") != 1).alias("neg"))
 
 
-def cumulative_counts(df: DataFrame, by: Sequence[str] = (),
-                      buckets: int | None = None) -> DataFrame:
-    """``by..., score, pos, neg, tp, fp``: predictions at or above each distinct score."""
-    return running_totals(score_counts(df, by), "score",
-                          {"tp": F.col("pos"), "fp": F.col("neg")}, by, descending=True,
-                          buckets=buckets)
+def stored_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``score_counts`` as a written table, so that curves and totals scan the data once."""
+    return written(score_counts(df, by), "score-counts")
+
 
+def curve_of_counts(counts: DataFrame, by: Sequence[str] = (), buckets: int | None = None
+                    ) -> DataFrame:
+    """``by..., score, pos, neg, tp, fp`` from stored counts."""
+    return running_totals(counts, "score", {"tp": F.col("pos"), "fp": F.col("neg")}, by,
+                          descending=True, buckets=buckets, stored=True)
 
-def _group_totals(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
 
+def cumulative_counts(df: DataFrame, by: Sequence[str] = (),
+                      buckets: int | None = None) -> DataFrame:
+    """Predictions at or above each distinct score."""
+    return curve_of_counts(stored_counts(df, by), by, buckets)
 
-def _with_totals(cumulative: DataFrame, by: Sequence[str]) -> DataFrame:
-    totals = _group_totals(cumulative, by)
+
+def _with_totals(curve: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if by:
-        return join_groups(cumulative, totals, by)
-    return cumulative.withColumns({c: totals.select(c).scalar() for c in ("all_pos", "all_neg")})
+        return join_groups(curve, totals, by)
+    return curve.withColumns({c: totals.select(c).scalar() for c in ("all_pos", "all_neg")})
 
 
 def _mark_corners(curve: DataFrame, by: Sequence[str], buckets: int | None) -> DataFrame:
@@ -162,16 +169,15 @@ def _mark_corners(curve: DataFrame, by: Sequence[str], buckets: int | None) -> D
 def roc_points(df: DataFrame, by: Sequence[str] = (), drop_intermediate: bool = True,
                buckets: int | None = None) -> DataFrame:
     """``fpr, tpr, threshold`` from (0, 0, infinity) on; points inside a straight run may go."""
-    curve = cumulative_counts(df, by, buckets)
-    totals = _group_totals(curve, by)
+    counts = stored_counts(df, by)
+    kept = _with_totals(curve_of_counts(counts, by, buckets), counts, by)
     if drop_intermediate:
-        kept = _mark_corners(_with_totals(curve, by), by, buckets)
-    else:
-        kept = _with_totals(curve, by)
+        kept = _mark_corners(kept, by, buckets)
     rate = lambda part, whole: F.try_divide(F.col(part).cast("double"), F.col(whole))
     points = kept.select(*by, rate("fp", "all_neg").alias("fpr"),
                          rate("tp", "all_pos").alias("tpr"), F.col("score").alias("threshold"))
-    start = totals.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+    groups = counts.groupBy(*by).agg(F.count("*").alias("_n"))
+    start = groups.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                           F.lit(float("inf")).alias("threshold"))
     return points.unionByName(start)
 
@@ -179,25 +185,27 @@ def roc_points(df: DataFrame, by: Sequence[str] = (), drop_intermediate: bool =
 def roc_auc(df: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve: the share of (positive, negative) pairs in the right order.
 
-    A positive outranks the negatives not yet counted at its score, and ties count half.
+    A positive loses to the negatives counted at or above its score, except that those it ties
+    with count half.
     """
-    curve = _with_totals(cumulative_counts(df, by, buckets), by)
-    below = F.col("all_neg") - F.col("fp")
-    won = F.sum(F.col("pos") * (below.cast("double") + F.col("neg") / F.lit(2.0)))
-    pairs = F.max("all_pos").cast("double") * F.max("all_neg")
-    return curve.groupBy(*by).agg(F.try_divide(won, pairs).alias("roc_auc"))
+    curve = cumulative_counts(df, by, buckets)
+    pos, neg, fp = (F.col(c).cast("double") for c in ("pos", "neg", "fp"))
+    pairs = F.sum(pos) * F.sum(neg)
+    lost = F.sum(pos * (fp - neg / 2))
+    return curve.groupBy(*by).agg(F.try_divide(pairs - lost, pairs).alias("roc_auc"))
 
 
 def pr_points(df: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """``precision, recall, threshold`` per distinct score, and the end point (1, 0)."""
-    curve = _with_totals(cumulative_counts(df, by, buckets), by)
+    counts = stored_counts(df, by)
+    curve = _with_totals(curve_of_counts(counts, by, buckets), counts, by)
     tp, fp = F.col("tp").cast("double"), F.col("fp")
-    points = curve.select(*by, (tp / (tp + fp)).alias("precision"),
-                          F.coalesce(F.try_divide(tp, F.col("all_pos")), F.lit(1.0)).alias("recall"),
+    recall = F.coalesce(F.try_divide(tp, F.col("all_pos")), F.lit(1.0))
+    points = curve.select(*by, (tp / (tp + fp)).alias("precision"), recall.alias("recall"),
                           F.col("score").alias("threshold"))
-    end = curve.select(*by).distinct() if by else curve.agg(F.count("*").alias("_n"))
-    end = end.select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-                     F.lit(None).cast("double").alias("threshold"))
+    groups = counts.groupBy(*by).agg(F.count("*").alias("_n"))
+    end = groups.select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
+                        F.lit(None).cast("double").alias("threshold"))
     return points.unionByName(end)
 
 

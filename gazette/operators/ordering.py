@@ -4,6 +4,9 @@ A window with no partition, or partitioned by a two-valued label, puts all rows
 Here the order column is cut into ranges of about equal row numbers; totals per range give each
 range its start, and a window inside (group, range) does the rest. Heavy ties do no harm, as the
 callers group equal values into one row first.
+
+The ordered table is read three times (cuts, totals, rows). It is narrow and usually counted
+already, so it is written once and what produced it runs once.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gazette.sources.scratch import written
+
 CUT_ERROR = 0.01
 
 
@@ -41,12 +46,13 @@ def with_ranges(df: DataFrame, order: str, buckets: int | None = None) -> DataFr
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, Column], by: Sequence[str] = (),
                    descending: bool = False, tie: str | None = None,
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None, stored: bool = False) -> DataFrame:
     """Add inclusive running totals of ``totals`` along ``order`` within each ``by`` group.
 
     Rows that tie need ``tie`` as a second key; otherwise the order must be unique per group.
+    Pass narrow rows; ``stored`` says that ``df`` is a written table already.
     """
-    ranged = with_ranges(df, order, buckets)
+    ranged = with_ranges(df if stored else written(df, "ordered"), order, buckets)
     keys = [*by, "_range"]
 
     def direction(name: str) -> Column:
@@ -91,9 +97,9 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def ranks_of_counts(counts: DataFrame, value: str, by: Sequence[str] = (),
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, stored: bool = False) -> DataFrame:
     """``by..., value, n, avg_rank`` from ``by..., value, n``, ties sharing their mean rank."""
-    upto = running_totals(counts, value, {"upto": F.col("n")}, by, buckets=buckets)
+    upto = running_totals(counts, value, {"upto": F.col("n")}, by, buckets=buckets, stored=stored)
     return upto.select(*by, value, "n",
                        (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("avg_rank"))
 
@@ -104,16 +110,16 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
     return ranks_of_counts(value_counts(df, value, by), value, by, buckets)
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (),
-                    buckets: int | None = None) -> DataFrame:
-    """Exact quantiles per group, linear between neighbours, from counts of distinct values."""
-    counted = value_counts(df, value, by)
-    upto = running_totals(counted, value, {"upto": F.col("n")}, by, buckets=buckets)
+def quantiles_of_counts(counts: DataFrame, value: str, shares: dict[str, float],
+                        by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Exact quantiles per group, linear between neighbours, from a written table of
+    ``by..., value, n``."""
+    upto = running_totals(counts, value, {"upto": F.col("n")}, by, buckets=buckets, stored=True)
     if by:
-        sizes = counted.groupBy(*by).agg(F.sum("n").alias("_rows"))
+        sizes = counts.groupBy(*by).agg(F.sum("n").alias("_rows"))
         upto = join_groups(upto, sizes, by)
     else:
-        upto = upto.withColumn("_rows", counted.agg(F.sum("n")).scalar())
+        upto = upto.withColumn("_rows", counts.agg(F.sum("n")).scalar())
     number = F.col(value).cast("double")
     cells = []
     for name, share in shares.items():
@@ -123,3 +129,10 @@ def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Seq
         part = F.max(spot - F.floor(spot))
         cells.append((low + (high - low) * part).alias(name))
     return upto.groupBy(*by).agg(*cells)
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (),
+                    buckets: int | None = None) -> DataFrame:
+    """The same from rows."""
+    counts = written(value_counts(df, value, by), "value-counts")
+    return quantiles_of_counts(counts, value, shares, by, buckets)
