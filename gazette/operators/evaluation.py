@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import scores as S
 from gazette.functions.text import short_text
-from gazette.operators.ordering import join_groups, running_totals, with_ranges
+from gazette.operators.ordering import join_groups, running_totals
 from gazette.sources.scratch import written
 
 # Rows of an error table, and its columns.
@@ -124,11 +124,12 @@ def stored_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return written(score_counts(df, by), "score-counts")
 
 
-def curve_of_counts(counts: DataFrame, by: Sequence[str] = (), buckets: int | None = None
-                    ) -> DataFrame:
+def curve_of_counts(counts: DataFrame, by: Sequence[str] = (), buckets: int | None = None,
+                    keep_range: bool = False) -> DataFrame:
     """``by..., score, pos, neg, tp, fp`` from stored counts."""
     return running_totals(counts, "score", {"tp": F.col("pos"), "fp": F.col("neg")}, by,
-                          descending=True, buckets=buckets, stored=True)
+                          descending=True, buckets=buckets, stored=True,
+                          keep_range=keep_range)
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str] = (),
@@ -144,35 +145,33 @@ def _with_totals(curve: DataFrame, counts: DataFrame, by: Sequence[str]) -> Data
     return curve.withColumns({c: totals.select(c).scalar() for c in ("all_pos", "all_neg")})
 
 
-def _mark_corners(curve: DataFrame, by: Sequence[str], buckets: int | None) -> DataFrame:
+def _mark_corners(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     """Keep the ends of the curve and the points where its step changes.
 
     The next point may lie in the next range, so each range also learns the first step of the
     range after it, from one row per range.
     """
-    ranged = with_ranges(curve, "score", buckets)
     keys = [*by, "_range"]
     step = F.struct("pos", "neg")
-    edges = ranged.groupBy(*keys).agg(F.max_by(step, F.col("score")).alias("_first_step"))
+    edges = curve.groupBy(*keys).agg(F.max_by(step, F.col("score")).alias("_first_step"))
     after = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_range").desc())
     edges = edges.select(*keys, F.lead("_first_step").over(after).alias("_next_range"))
     within = W.partitionBy(*keys).orderBy(F.col("score").desc())
-    joined = join_groups(ranged, edges, keys)
+    joined = join_groups(curve, edges, keys)
     following = F.coalesce(F.lead(step).over(within), F.col("_next_range"))
     marked = joined.withColumn("_next", following)
     is_first = (F.col("tp") + F.col("fp")) == (F.col("pos") + F.col("neg"))
     bends = ((F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg")))
     return (marked.filter(F.col("_next").isNull() | is_first | bends)
-            .drop("_next", "_next_range", "_range"))
+            .drop("_next", "_next_range"))
 
 
 def roc_points(df: DataFrame, by: Sequence[str] = (), drop_intermediate: bool = True,
                buckets: int | None = None) -> DataFrame:
     """``fpr, tpr, threshold`` from (0, 0, infinity) on; points inside a straight run may go."""
     counts = stored_counts(df, by)
-    kept = _with_totals(curve_of_counts(counts, by, buckets), counts, by)
-    if drop_intermediate:
-        kept = _mark_corners(kept, by, buckets)
+    curve = curve_of_counts(counts, by, buckets, keep_range=True)
+    kept = _with_totals(_mark_corners(curve, by) if drop_intermediate else curve, counts, by)
     rate = lambda part, whole: F.try_divide(F.col(part).cast("double"), F.col(whole))
     points = kept.select(*by, rate("fp", "all_neg").alias("fpr"),
                          rate("tp", "all_pos").alias("tpr"), F.col("score").alias("threshold"))

@@ -46,11 +46,13 @@ def with_ranges(df: DataFrame, order: str, buckets: int | None = None) -> DataFr
 
 def running_totals(df: DataFrame, order: str, totals: dict[str, Column], by: Sequence[str] = (),
                    descending: bool = False, tie: str | None = None,
-                   buckets: int | None = None, stored: bool = False) -> DataFrame:
+                   buckets: int | None = None, stored: bool = False,
+                   keep_range: bool = False) -> DataFrame:
     """Add inclusive running totals of ``totals`` along ``order`` within each ``by`` group.
 
     Rows that tie need ``tie`` as a second key; otherwise the order must be unique per group.
-    Pass narrow rows; ``stored`` says that ``df`` is a written table already.
+    Pass narrow rows; ``stored`` says that ``df`` is a written table already,
+    ``keep_range`` leaves the range number in ``_range``.
     """
     ranged = with_ranges(df if stored else written(df, "ordered"), order, buckets)
     keys = [*by, "_range"]
@@ -70,7 +72,7 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, Column], by: Seq
     joined = join_groups(ranged, starts, keys)
     return joined.withColumns({
         n: F.sum(c).over(within) + F.col(f"_start_{n}") for n, c in totals.items()
-    }).drop("_range", *[f"_start_{n}" for n in totals])
+    }).drop(*[f"_start_{n}" for n in totals], *([] if keep_range else ["_range"]))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:

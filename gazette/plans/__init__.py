@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from gazette.plans import base, cleaning, exploration, labelling, scoring, texts  # noqa: F401
+from gazette.plans import (  # noqa: F401
+    base,
+    cleaning,
+    exploration,
+    labelling,
+    models,
+    scoring,
+    storage,
+    texts,
+)
 
 
 def queries() -> dict[str, base.Query]:
