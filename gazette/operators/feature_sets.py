@@ -81,7 +81,7 @@ def eval_feature_sets(view: DataFrame, target: str, k: int = 5, seed: int = 42,
 
     work = [(name, columns, fold) for name, columns in sets.items() for fold in sorted(sizes)]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        parts = list(pool.map(inheritable_thread_target(run), work))
+        parts = list(pool.map(inheritable_thread_target(view.sparkSession)(run), work))
     parts.append(_most_frequent(data, sorted(sizes)))
     scored = written(reduce(DataFrame.unionByName, parts), "feature-set-scores")
     by = ["features", "fold"]

@@ -44,7 +44,7 @@ def sketch_rows(indices, values, size: int, degree: int, components: int = COMPO
     return np.fft.irfft(spectrum, n=components, axis=1)
 
 
-def polynomial_sketch(arrays: DataFrame, column: str, size: int, degree: int,
+def polynomial_sketch(arrays: DataFrame, size: int, degree: int, column: str = "features",
                       components: int = COMPONENTS, coef0: float = COEF0, seed: int = 42
                       ) -> DataFrame:
     """Replace the stored sparse rows in ``column`` by dense sketch vectors.

@@ -44,9 +44,15 @@ class TermSettings:
         return self.analyzer, self.low, self.high, self.stop_words
 
 
+def wide(df: DataFrame) -> int:
+    """The session's shuffle partitions, for stages whose work outgrows their input size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def term_counts(docs: DataFrame, settings: TermSettings, text: str = "description") -> DataFrame:
     """``id, term, tf`` for every document that has terms."""
-    by_document = docs.select("id", text).repartition(F.col("id"))
+    # A given number of partitions is never coalesced: what follows is far larger than the text.
+    by_document = docs.select("id", text).repartition(wide(docs), F.col("id"))
     if settings.analyzer == WORD:
         tokens = word_tokens(F.col(text), settings.stop_words)
         grams = by_document.select(
@@ -109,12 +115,16 @@ def document_count(docs: DataFrame) -> Column:
     return docs.agg(F.count("*")).scalar()
 
 
-def term_weights(counts: DataFrame, vocabulary: DataFrame, settings: TermSettings) -> DataFrame:
+def term_weights(counts: DataFrame, vocabulary: DataFrame, settings: TermSettings,
+                 partitions: int | None = None) -> DataFrame:
     """The known terms of ``counts`` with ``weight``: TF-IDF rows of length 1, or raw counts.
 
-    Other columns of the vocabulary (an index) come along.
+    Other columns of the vocabulary (an index) come along. ``partitions`` shuffles the known
+    terms by document into that many, for counts read from a table.
     """
     known = counts.join(vocabulary.drop("df", "total"), "term")
+    if partitions is not None:
+        known = known.repartition(partitions, F.col("id"))
     if not settings.tfidf:
         return known.withColumn("weight", F.col("tf").cast("double")).drop("idf")
     tf = F.col("tf").cast("double")

@@ -15,9 +15,8 @@ from dataclasses import dataclass, replace
 from pyspark import inheritable_thread_target
 from pyspark.ml import Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import scores as S
@@ -30,21 +29,31 @@ from gazette.operators.candidates import (
     Candidate,
     Point,
 )
+from gazette.operators.sketch import polynomial_sketch
 from gazette.operators.splits import hash_folds, stratified_folds
 from gazette.operators.terms import TermSettings, fit_vocabulary, term_counts, term_weights
-from gazette.operators.vectors import FeatureTable, fit_vectorizer, write_features
-from gazette.operators.sketch import polynomial_sketch
+from gazette.operators.vectors import (
+    FeatureTable,
+    category_index,
+    fit_vectorizer,
+    one_hot,
+    sparse_rows,
+    write_features,
+)
 from gazette.sources.scratch import written
 
 HOLDOUT = -1  # the fold number of test rows
-MAX_ITER = 200
+MAX_ITER = 100
+TOLERANCE = 1e-5
 
 
 @dataclass(frozen=True)
 class Data:
-    """``rows``: ``id, label, fold`` and the texts; ``fold`` is HOLDOUT for test rows."""
+    """``texts``: ``id`` and the feature columns, read only to count terms. ``marks``: a written
+    table of ``id, label, fold``, with fold HOLDOUT for test rows."""
 
-    rows: DataFrame
+    texts: DataFrame
+    marks: DataFrame
     label_counts: dict[int, dict[int, int]]
 
     def train_size(self, without: int | None = None) -> int:
@@ -68,13 +77,14 @@ def prepare(rows: DataFrame, k: int = 5, exact_folds: bool = True) -> Data:
     train = rows.filter(F.col("split") == "train").select("id", "label")
     folds = (stratified_folds(train, "label", k).select("id", "fold") if exact_folds
              else hash_folds(train, k).select("id", "fold"))
-    numbered = rows.join(folds, "id", "left").withColumn(
-        "fold", F.when(F.col("split") == "train", F.col("fold")).otherwise(HOLDOUT)).drop("split")
+    fold = F.when(F.col("split") == "train", F.col("fold")).otherwise(HOLDOUT)
+    marks = written(rows.select("id", "label", "split").join(folds, "id", "left")
+                    .select("id", "label", fold.alias("fold")), "marks")
     # (fold, label) pairs number folds x classes.
     counts: dict[int, dict[int, int]] = {}
-    for row in numbered.groupBy("fold", "label").count().collect():
+    for row in marks.groupBy("fold", "label").count().collect():
         counts.setdefault(row["fold"], {})[row["label"]] = row["count"]
-    return Data(numbered, counts)
+    return Data(rows.drop("label", "split"), marks, counts)
 
 
 def train_rows(fold: Column, without: int | None) -> Column:
@@ -90,7 +100,8 @@ def estimator(point: Point, kind: str, n: int):
     is 1 / (C n). The hinge loss of the SVM is Spark's own.
     """
     shared = dict(featuresCol="features", labelCol="label", weightCol="weight",
-                  regParam=1.0 / (point.c * n), standardization=False, maxIter=MAX_ITER)
+                  regParam=1.0 / (point.c * n), standardization=False, maxIter=MAX_ITER,
+                  tol=TOLERANCE)
     if kind == LOG_REG:
         return LogisticRegression(elasticNetParam=0.0, **shared)
     if kind == LINEAR_SVM:
@@ -130,51 +141,33 @@ def predict(model: Transformer, features: DataFrame, keep: Sequence[str] = ("id"
 
 def _counts_of(data: Data, settings: TermSettings, text: str) -> DataFrame:
     """``id, fold, term, tf``, written because every fold and every limit reads it."""
-    counts = term_counts(data.rows, settings, text)
-    return written(counts.join(data.rows.select("id", "fold"), "id"), "counts")
+    counts = term_counts(data.texts, settings, text)
+    return written(counts.join(data.marks.select("id", "fold"), "id"), "counts")
 
 
 def build_features(data: Data, candidate: Candidate, settings: TermSettings,
                    counts: dict[str, DataFrame], without: int | None) -> FeatureTable:
-    """Vectors of all rows with vocabularies learned without the fold ``without``."""
-    parts = {}
-    for text, table in counts.items():
-        learn = table.filter(train_rows(F.col("fold"), without)).drop("fold")
-        vectorizer = fit_vectorizer(learn, data.train_size(without), settings)
-        parts[text] = (table.drop("fold"), vectorizer)
-    keep = ["id", "label", "fold", *([YEAR] if YEAR in candidate.fields else [])]
-    return write_features(data.rows, parts, keep)
-
-
-def final_features(table: FeatureTable, candidate: Candidate, without: int | None,
-                   seed: int) -> DataFrame:
-    """``id, label, fold, features`` as the classifier wants them."""
-    texts = [f for f in candidate.fields if f != YEAR]
-    if candidate.degree is not None:
-        text = texts[0]
-        sketched = polynomial_sketch(table.arrays, text, table.sizes[text], candidate.degree,
-                                     candidate.components, seed=seed)
-        return sketched.withColumnRenamed(text, "features").select("id", "label", "fold",
-                                                                   "features")
-    if len(candidate.fields) == 1:
-        return table.vectors.withColumnRenamed(texts[0], "features").select(
-            "id", "label", "fold", "features")
-    rows, inputs = table.vectors, list(texts)
+    """Vectors of all rows, learned without the fold ``without``; the year comes last."""
+    learn = train_rows(F.col("fold"), without)
+    parts = []
+    for table in counts.values():
+        vectorizer = fit_vectorizer(table.filter(learn).drop("fold"), data.train_size(without),
+                                    settings)
+        parts.append((sparse_rows(table.drop("fold"), vectorizer), vectorizer.size))
     if YEAR in candidate.fields:
-        rows = year_one_hot(rows, rows.filter(train_rows(F.col("fold"), without)))
-        inputs.append("year_vector")
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select(
-        "id", "label", "fold", "features")
+        known = data.texts.select("id", YEAR).join(data.marks.filter(learn).select("id"), "id")
+        years = written(category_index(known, YEAR), "years")
+        size = years.count()
+        parts.append((one_hot(data.texts, YEAR, years, size), size))
+    return write_features(data.marks, parts, ["id", "label", "fold"])
 
 
-def year_one_hot(rows: DataFrame, train: DataFrame) -> DataFrame:
-    """Add ``year_vector``; a year the training rows lack is the zero vector."""
-    indexer = StringIndexer(inputCol=YEAR, outputCol="_year", handleInvalid="keep",
-                            stringOrderType="alphabetAsc").fit(train)
-    # "keep" gives unseen years one more index, and dropping the last category makes it zero.
-    encoder = OneHotEncoder(inputCols=["_year"], outputCols=["year_vector"], dropLast=True)
-    indexed = indexer.transform(rows)
-    return encoder.fit(indexer.transform(train)).transform(indexed).drop("_year")
+def final_features(table: FeatureTable, candidate: Candidate, seed: int) -> DataFrame:
+    """``id, label, fold, features`` as the classifier wants them."""
+    if candidate.degree is None:
+        return table.vectors
+    return polynomial_sketch(table.arrays, table.size, candidate.degree,
+                             components=candidate.components, seed=seed)
 
 
 # --------------------------------------------------------------------------- search
@@ -198,8 +191,9 @@ def _f1_of(predictions: DataFrame) -> float:
 
 def _in_threads(run, items: Sequence, parallelism: int) -> list:
     """Independent Spark jobs a few at a time, results in order."""
+    spark = SparkSession.active()
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
-        return list(pool.map(inheritable_thread_target(run), items))
+        return list(pool.map(inheritable_thread_target(spark)(run), items))
 
 
 def _score_fold(data: Data, candidate: Candidate, settings: TermSettings, points: Sequence[Point],
@@ -210,7 +204,7 @@ def _score_fold(data: Data, candidate: Candidate, settings: TermSettings, points
         return [_f1_of(_bayes_predict(data, settings, table, fold, p.alpha, parts))
                 for p in points]
     table = build_features(data, candidate, settings, counts, fold)
-    features = final_features(table, candidate, fold, seed)
+    features = final_features(table, candidate, seed)
     # Spark ML caches its own blocks of the rows it fits, so the table is not persisted here.
     learn = features.filter(train_rows(F.col("fold"), fold))
     held_out = features.filter(F.col("fold") == fold)
@@ -221,7 +215,7 @@ def _score_fold(data: Data, candidate: Candidate, settings: TermSettings, points
 
 def _bayes_parts(data: Data, settings: TermSettings, counts: DataFrame, without: int | None):
     learn = train_rows(F.col("fold"), without)
-    labels = data.rows.filter(learn).select("id", "label")
+    labels = data.marks.filter(learn).select("id", "label")
     train_counts = counts.filter(learn).drop("fold")
     vocabulary = fit_vocabulary(train_counts, data.train_size(without), settings)
     sums = naive_bayes.term_sums(term_weights(train_counts, vocabulary, settings), labels)
@@ -232,7 +226,7 @@ def _bayes_predict(data: Data, settings: TermSettings, counts: DataFrame, fold:
                    parts) -> DataFrame:
     vocabulary, sums, priors = parts
     chosen = term_weights(counts.filter(F.col("fold") == fold).drop("fold"), vocabulary, settings)
-    rows = data.rows.filter(F.col("fold") == fold).select("id", "label")
+    rows = data.marks.filter(F.col("fold") == fold).select("id", "label")
     return naive_bayes.predict(naive_bayes.from_sums(sums, priors, alpha), rows, chosen)
 
 
@@ -280,8 +274,8 @@ def fit_predict(data: Data, candidate: Candidate, point: Point, seed: int = 42)
         parts = _bayes_parts(data, point.settings, table, None)
         return _bayes_predict(data, point.settings, table, HOLDOUT, point.alpha, parts).select(
             "id", "label", "y_pred", "score")
-    features = final_features(build_features(data, candidate, point.settings, counts, None),
-                              candidate, None, seed)
+    table = build_features(data, candidate, point.settings, counts, None)
+    features = final_features(table, candidate, seed)
     learn = features.filter(F.col("fold") != HOLDOUT)
     model = fit_classifier(learn, point, candidate.kind, data.class_counts())
     return predict(model, features.filter(F.col("fold") == HOLDOUT))

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.operators.ordering import position_in_order
 from gazette.operators.splits import hash_number
-from gazette.operators.terms import TermSettings, fit_vocabulary, term_weights
+from gazette.operators.terms import TermSettings, fit_vocabulary, term_weights, wide
 from gazette.sources.scratch import new_path, written
 
 SPARSE = 0  # the tag of a sparse vector in a stored vector column
@@ -40,7 +41,7 @@ def fit_vectorizer(train_counts: DataFrame, n: int, settings: TermSettings) -> V
 def sparse_rows(counts: DataFrame, vectorizer: Vectorizer) -> DataFrame:
     """``id, features`` with the stored layout of a sparse vector, one row per document that
     has a known term. Only one document's terms are ever grouped."""
-    weighted = term_weights(counts, vectorizer.vocabulary, vectorizer.settings)
+    weighted = term_weights(counts, vectorizer.vocabulary, vectorizer.settings, wide(counts))
     entries = weighted.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("e"))
     return entries.select("id", _layout(
@@ -53,36 +54,57 @@ def _layout(indices, values, size: int):
                     indices.alias("indices"), values.alias("values"))
 
 
-def _empty(size: int):
-    return _layout(F.array().cast("array<int>"), F.array().cast("array<double>"), size)
-
-
 @dataclass(frozen=True)
 class FeatureTable:
-    """One written table, read in two ways: ``vectors`` for Spark ML, ``arrays`` as plain structs."""
+    """One written table, read in two ways: ``features`` as vectors for Spark ML, and as the
+    plain struct with ``indices`` and ``values``. ``size`` is the vector length."""
 
     vectors: DataFrame
     arrays: DataFrame
-    sizes: dict[str, int]
+    size: int
+
+
+def category_index(train: DataFrame, column: str) -> DataFrame:
+    """``column, index``: the training categories in order. A category missing here becomes
+    the zero vector. Categories are few (years), so numbering them is one small task."""
+    order = W.orderBy(column)
+    return train.select(column).distinct().withColumn(
+        "index", (F.row_number().over(order) - 1).cast("int"))
+
+
+def one_hot(rows: DataFrame, column: str, index: DataFrame, size: int) -> DataFrame:
+    """``id, features`` for the rows whose category is known."""
+    known = rows.select("id", column).join(index, column)
+    return known.select("id", _layout(F.array("index"), F.array(F.lit(1.0)), size)
+                        .alias("features"))
+
+
+def _shifted(indices, by: int):
+    return indices if by == 0 else F.transform(indices, lambda x: x + F.lit(by))
 
 
-def write_features(rows: DataFrame, parts: dict[str, tuple[DataFrame, Vectorizer]],
+def write_features(rows: DataFrame, parts: Sequence[tuple[DataFrame, int]],
                    keep: Sequence[str]) -> FeatureTable:
-    """Write ``keep`` columns of ``rows`` with one vector column per part.
+    """Write ``keep`` columns of ``rows`` and ``features``: the parts side by side.
 
-    A stored vector column is a struct, so Spark builds the vectors without any Python, and
-    every fit on them reads the same table.
+    A part is ``(id, features) rows, size``; a row without a part has zeros there. A stored
+    vector column is a struct, so Spark reads the vectors without any Python, parts are laid
+    side by side by shifting indices, and every fit reads the same table.
     """
     table = rows.select(*dict.fromkeys(["id", *keep]))
-    for name, (counts, vectorizer) in parts.items():
-        vectors = sparse_rows(counts, vectorizer).withColumnRenamed("features", name)
-        table = table.join(vectors, "id", "left").withColumn(
-            name, F.coalesce(F.col(name), _empty(vectorizer.size)))
+    indices, values, width = [], [], 0
+    for i, (part, size) in enumerate(parts):
+        table = table.join(part.withColumnRenamed("features", f"_part{i}"), "id", "left")
+        indices.append(_shifted(
+            F.coalesce(F.col(f"_part{i}.indices"), F.array().cast("array<int>")), width))
+        values.append(F.coalesce(F.col(f"_part{i}.values"), F.array().cast("array<double>")))
+        width += size
+    features = _layout(F.concat(*indices), F.concat(*values), width)
+    table = table.select(*dict.fromkeys(["id", *keep]), features.alias("features"))
     spark = rows.sparkSession
     path = new_path(spark, "features")
     table.write.parquet(path)
     schema = T.StructType([
-        T.StructField(f.name, VectorUDT() if f.name in parts else f.dataType)
+        T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType)
         for f in table.schema.fields])
-    return FeatureTable(spark.read.schema(schema).parquet(path), spark.read.parquet(path),
-                        {name: v.size for name, (_, v) in parts.items()})
+    return FeatureTable(spark.read.schema(schema).parquet(path), spark.read.parquet(path), width)

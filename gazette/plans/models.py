@@ -38,7 +38,8 @@ def tfidf_vectors(spark, sf_dir):
     train = F.col("split") == splits.TRAIN
     n = rows.filter(train).select("id").count()
     vectorizer = V.fit_vectorizer(counts.filter(train).drop("split"), n, SETTINGS)
-    table = V.write_features(rows, {"features": (counts.drop("split"), vectorizer)}, ["id"])
+    part = V.sparse_rows(counts.drop("split"), vectorizer)
+    table = V.write_features(rows, [(part, vectorizer.size)], ["id"])
     values = vector_to_array(F.col("features"))
     nonzero = F.filter(values, lambda x: x != 0)
     return rounded(table.vectors.select(
@@ -54,10 +55,12 @@ def tfidf_vectors(spark, sf_dir):
   FROM y LEFT JOIN ix USING (year)""")
 def year_one_hot(spark, sf_dir):
     rows = splits.with_split(with_features(articles(spark, sf_dir))).select("id", "split", "year")
-    encoded = training.year_one_hot(rows, rows.filter(F.col("split") == splits.TRAIN))
-    values = vector_to_array(F.col("year_vector"))
-    return encoded.select("id", "year", (F.array_position(values, F.lit(1.0)) - 1).cast("int")
-                          .alias("hot"), F.size(values).alias("width"))
+    index = V.category_index(rows.filter(F.col("split") == splits.TRAIN), "year")
+    width = index.count()
+    table = V.write_features(rows, [(V.one_hot(rows, "year", index, width), width)], ["id", "year"])
+    values = vector_to_array(F.col("features"))
+    return table.vectors.select("id", "year", (F.array_position(values, F.lit(1.0)) - 1)
+                                .cast("int").alias("hot"), F.size(values).alias("width"))
 
 
 def _vocabulary_size_sql(source: str, text: str) -> str:
@@ -82,9 +85,7 @@ def assembled_features(spark, sf_dir):
     data = training.prepare(training_table(spark, sf_dir))
     counts = {text: training._counts_of(data, C.CHARS, text) for text in ("description", "headline")}
     table = training.build_features(data, model, C.CHARS, counts, None)
-    vectors = training.final_features(table, model, None, 42)
-    nonzero = F.filter(vector_to_array(F.col("features")), lambda x: x != 0)
-    return vectors.select("id", F.size(nonzero).alias("n_features"))
+    return table.arrays.select("id", F.size("features.indices").alias("n_features"))
 
 
 SCALED = ("year", "desc_tokens", "headline_tokens")
