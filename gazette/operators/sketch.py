@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 COMPONENTS = 8192
 COEF0 = 1.0
 ROWS_AT_ONCE = 128
+NOISE_DIGITS = 12
 
 
 def sketch_rows(indices, values, size: int, degree: int, components: int = COMPONENTS,
@@ -41,7 +42,9 @@ def sketch_rows(indices, values, size: int, degree: int, components: int = COMPO
         flat = np.bincount(place, weights=value * sign[k, feature], minlength=rows * components)
         transformed = np.fft.rfft(flat.reshape(rows, components), axis=1)
         spectrum = transformed if spectrum is None else spectrum * transformed
-    return np.fft.irfft(spectrum, n=components, axis=1)
+    # Cells that hold nothing come out as rounding noise; Spark scales columns to unit deviation
+    # while it fits, so noise must be an exact zero.
+    return np.round(np.fft.irfft(spectrum, n=components, axis=1), NOISE_DIGITS)
 
 
 def polynomial_sketch(arrays: DataFrame, size: int, degree: int, column: str = "features",

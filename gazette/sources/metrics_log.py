@@ -73,7 +73,8 @@ def read_metrics_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_report(df: DataFrame, path: str) -> None:
     """A report of a few rows as one CSV file with header (never for data-sized tables)."""
-    flat_cells(df).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    flat_cells(df).coalesce(1).write.mode("overwrite").csv(path, header=True,
+                                                                escape='"')
 
 
 def write_training_log(df: DataFrame, path: str) -> None:

@@ -14,8 +14,25 @@ RUN_COLUMNS = ("target", "model", "seed", "scope")
 CORRUPT = "_corrupt_record"
 
 
-def _csv_schema(schema: str) -> T.StructType:
-    return T.StructType.fromDDL(schema)
+def split_bad_lines(spark: SparkSession, path: str,
+                    schema: str = PREDICTION_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(good rows, the text of lines that do not fit), for callers who want to see the latter.
+
+    Whole lines are judged, whichever columns a query goes on to use: the number of fields by
+    the parser, the values by the condition below.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
+    rows = (spark.read.schema(texts.add(CORRUPT, T.StringType()))
+            .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+                     columnPruning=False).csv(path))
+    fits = F.col(CORRUPT).isNull()
+    for f in wanted.fields:
+        fits = fits & (F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull())
+    good = rows.filter(fits).select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *wanted.names))
+    return good, rows.filter(~fits).select(line.alias("line"))
 
 
 def read_predictions_csv(spark: SparkSession, path: str,
@@ -24,19 +41,7 @@ def read_predictions_csv(spark: SparkSession, path: str,
 
     Older files have no ``row_index``: pass ``schema="y_true INT, y_pred INT"``.
     """
-    return (spark.read.schema(_csv_schema(schema))
-            .options(header=True, mode="DROPMALFORMED", enforceSchema=False).csv(path))
-
-
-def split_bad_lines(spark: SparkSession, path: str,
-                    schema: str = PREDICTION_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """(good rows, the text of lines that do not fit), for callers who want to see the latter."""
-    full = _csv_schema(schema).add(CORRUPT, T.StringType())
-    rows = (spark.read.schema(full)
-            .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).csv(path))
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
-    return good, bad
+    return split_bad_lines(spark, path, schema)[0]
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
