@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The space characters as SQL's regular expressions write them.
+SQL_SPACES = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+SQL_SPACE_RUN = f"[{SQL_SPACES}]+"
+SQL_SPACE_FREE_RUN = f"[^{SQL_SPACES}]+"
+
+
 def r6(column) -> object:
     """Six digits: sums may differ in the last bits between engines."""
     return F.round(column, 6)
@@ -56,7 +63,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         text.alias("description"),
-        F.when(F.contains(text, F.lit("\n")), F.split_part(text, F.lit("\n"), F.lit(1)))
+        F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", 1))
         .alias("headline"),
         F.when(source == "src5", "n.d.").otherwise(F.date_format(day, "dd/MM/yyyy")).alias("date"),
         F.when(F.col("n_chars") < 250, "99").when(source == "src7", "n/a")

@@ -10,12 +10,13 @@ from gazette.plans.base import (
     ARTICLES_SQL,
     RAW_SQL,
     SPLIT_SQL,
+    SQL_SPACE_FREE_RUN,
+    SQL_SPACE_RUN,
     articles,
     query,
     r6,
     raw_articles,
 )
-from gazette.functions.text import SPACE_FREE_RUN, SPACE_RUN
 from gazette.sources.articles import target_rows, with_features
 from gazette.sources.predictions import run_name
 
@@ -24,11 +25,11 @@ YEAR_SQL = f"coalesce(year({DATE_SQL}), -1)"
 
 
 def tokens_sql(text: str) -> str:
-    return f"len(regexp_extract_all({text}, '{SPACE_FREE_RUN}'))::INTEGER"
+    return f"len(regexp_extract_all({text}, '{SQL_SPACE_FREE_RUN}'))::INTEGER"
 
 
 def short_sql(text: str) -> str:
-    flat = f"trim(regexp_replace({text}, '{SPACE_RUN}', ' ', 'g'))"
+    flat = f"trim(regexp_replace({text}, '{SQL_SPACE_RUN}', ' ', 'g'))"
     return (f"CASE WHEN length({flat}) > 180 THEN substr({flat}, 1, 177) || '...' "
             f"ELSE {flat} END")
 
@@ -194,7 +195,7 @@ def short_texts(spark, sf_dir):
 
 
 @query("truncate_tokens", f"""SELECT doc_id AS id,
-  array_to_string(list_slice(regexp_extract_all(text, '{SPACE_FREE_RUN}'), 1, 256), ' ')
+  array_to_string(list_slice(regexp_extract_all(text, '{SQL_SPACE_FREE_RUN}'), 1, 256), ' ')
     AS shortened FROM documents""")
 def truncated(spark, sf_dir):
     return raw_articles(spark, sf_dir).select(

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gazette.functions.text import SPACE_RUN, english_stop_words, word_ngrams, word_tokens
+from gazette.functions.text import english_stop_words, word_ngrams, word_tokens
 from gazette.operators import evaluation, naive_bayes, splits
 from gazette.operators import terms as T
-from gazette.plans.base import ARTICLES_SQL, RAW_SQL, SPLIT_SQL, articles, f1_sql, query, raw_articles
+from gazette.plans.base import (
+    ARTICLES_SQL,
+    RAW_SQL,
+    SPLIT_SQL,
+    SQL_SPACE_RUN,
+    articles,
+    f1_sql,
+    query,
+    raw_articles,
+)
 from gazette.plans.exploration import rounded
 
 WORD_SQL = r"[\p{L}\p{N}_]{2,}"
@@ -61,7 +70,7 @@ CHARS = T.TermSettings(analyzer=T.CHAR_WB, low=3, high=5, min_df=0.002)
 
 CHAR_COUNTS_SQL = f"""wd AS (
     SELECT id, w, count(*) AS times FROM (
-      SELECT id, unnest(string_split_regex(lower(description), '{SPACE_RUN}')) AS w FROM src)
+      SELECT id, unnest(string_split_regex(lower(description), '{SQL_SPACE_RUN}')) AS w FROM src)
     WHERE w <> '' GROUP BY id, w),
   gr AS (SELECT id, times, ' ' || w || ' ' AS p, unnest([3, 4, 5]) AS n FROM wd),
   sp AS (SELECT id, times, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM gr

@@ -84,6 +84,13 @@ def test_token_count_is_python_split(spark, text, tokens):
     assert row["n"] == tokens and row["flat"] == " ".join(text.split())
 
 
+def test_every_space_character(spark):
+    chars = [chr(i) for i in range(1, 0x3100)] + ["\ufeff", "\U0001f600"]
+    rows = [(f"x{c}y", len(f"x{c}y".split())) for c in chars]
+    frame = spark.createDataFrame(rows, "t STRING, n INT")
+    assert frame.filter(X.token_count(F.col("t")) != F.col("n")).count() == 0
+
+
 def test_short_text(spark):
     texts = ["x" * 181, "x" * 180, "a \n b", None]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
