@@ -9,6 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Cutting texts into n-grams makes far more than was shuffled: keep small shuffles spread over
+    # all cores. Large ones are sized by the total over the cluster's parallelism anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # Vocabularies and per-class weights are bounded tables (see operators/terms.py); let a
     # written one of up to 64 MB be broadcast, anything larger falls back to a shuffle join.
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
