@@ -5,11 +5,9 @@ Everything here is a built-in Spark expression, so it stays in the JVM.
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,9 +103,5 @@ def fill_template(template: str, slot: str, value: Column) -> Column:
 
 
 def english_stop_words() -> list[str]:
-    """The English list shipped with Spark ML, read from its jar so no session is needed."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    jar = next(jars.glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as content:
-        raw = content.read("org/apache/spark/ml/feature/stopwords/english.txt")
-    return raw.decode("utf-8").split()
+    """The English list of Spark ML's StopWordsRemover, kept beside this file."""
+    return (Path(__file__).parent / "english_stop_words.txt").read_text("utf-8").split()

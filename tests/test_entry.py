@@ -26,6 +26,17 @@ def test_every_check_belongs_to_a_query():
     assert len(entry.oracle_sql()) > 80
 
 
+def test_nothing_is_looked_up_beside_the_installed_spark(monkeypatch, tmp_path):
+    import pyspark
+
+    from gazette.functions.text import english_stop_words
+    from gazette.operators.candidates import candidates
+
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "pyspark" / "__init__.py"))
+    assert len(english_stop_words()) == 181
+    assert candidates() and entry.queries() and entry.oracle_sql()
+
+
 @needs_data
 def test_entry(spark):
     frame = entry.entry(spark)
