@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gazette.functions import labels as L
+from gazette.shipping import ship_package
 from gazette.functions.significance import chi_square_p_value, correlation_p_value
 from gazette.functions.text import token_count
 from gazette.operators.ordering import (
@@ -206,6 +207,7 @@ def point_biserial(view: DataFrame, labels: Sequence[str] = LABELS,
 
 def association_tests(view: DataFrame) -> DataFrame:
     """Both correlations with p values per label and feature, strongest first within a label."""
+    ship_package(view.sparkSession)
     r = point_biserial(view).join(spearman(view), ["label", "feature"])
     n = F.col("n").cast("double")
     return r.select(
@@ -222,6 +224,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     One pass counts the pairs of values. All the rest, the grid of expected counts included,
     has classes x classes rows.
     """
+    ship_package(df.sparkSession)
     cells = written(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
                     .groupBy(F.col(a).alias("a"), F.col(b).alias("b"))
                     .agg(F.count("*").alias("o")), "crosstab")

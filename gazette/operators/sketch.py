@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.shipping import ship_package
+
 # Sketch width, and the weight of the constant feature.
 COMPONENTS = 8192
 COEF0 = 1.0
@@ -68,5 +70,6 @@ def polynomial_sketch(arrays: DataFrame, size: int, degree: int, column: str = "
                 dense = sketch_rows(part["_i"], part["_v"], size, degree, components, coef0, seed)
                 yield part[others].assign(_sketch=list(dense))
 
+    ship_package(flat.sparkSession)
     return flat.mapInPandas(run, schema).select(
         *others, array_to_vector("_sketch").alias(column))
