@@ -46,6 +46,14 @@ def shingles(tokens: Column, n: int) -> Column:
         F.size(tokens) > 0, F.array(F.xxhash64(F.array_join(tokens, " "))))
 
 
+def _exploded(frame: DataFrame, id_col: str, text_col: str, name: str, n: int) -> DataFrame:
+    """One row ``name, s`` per shingle of every row with an id."""
+    # The words are a column of their own, or they would be cut anew for every shingle.
+    cut = frame.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias(name), words(F.col(text_col)).alias("words"))
+    return cut.select(name, F.explode(shingles(F.col("words"), n)).alias("s"))
+
+
 def signature(elements: Column, slots: int = SLOTS) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda seed: F.array_min(
         F.transform(elements, lambda x: F.xxhash64(x, seed))))
@@ -91,16 +99,10 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 80,
               id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
               item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` of every contained item."""
-    parts = items.select(
-        F.col(item_id).cast("bigint").alias("item_id"),
-        F.explode(shingles(words(F.col(item_text)), n)).alias("s")
-    ).where("item_id IS NOT NULL").distinct()
+    parts = _exploded(items, item_id, item_text, "item_id", n).distinct()
     parts = written(parts, "item-shingles")
     wanted = written(parts.select("s").distinct(), "wanted")
-    hits = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.explode(shingles(words(F.col(text_col)), n)).alias("s")
-    ).where("doc_id IS NOT NULL").join(wanted, "s", "left_semi")
+    hits = _exploded(docs, id_col, text_col, "doc_id", n).join(wanted, "s", "left_semi")
     left = hits.groupBy("doc_id").agg(F.collect_set("s").alias("x"))
     left = written(left.select(
         F.col("doc_id").alias("id"), "x", size_class(F.size("x")).alias("size_class")), "left")
