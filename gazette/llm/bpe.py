@@ -120,7 +120,7 @@ class Codec:
                 out[i] = rank.to_bytes(4, "little")
             elif len(piece) > LONG_PIECE:
                 out[i] = self._merge_long(piece)
-            else:
+            elif piece:
                 classes.setdefault(len(piece).bit_length(), []).append(i)
         for width, members in classes.items():
             step = max(1, (1 << 20) >> width)
