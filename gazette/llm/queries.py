@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import (
-    bpe, decontamination, embeddings, near_dup, pii, quality, secrets, url_filter, warc)
+    bpe, decontamination, embeddings, language_model, near_dup, pii, quality, secrets, url_filter,
+    warc)
 from gazette.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -18,6 +19,11 @@ def ranks_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"), ranks_path(),
+                                 public_tokenizers.PATTERN)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"), ranks_path(),
                            public_tokenizers.PATTERN)
@@ -59,8 +65,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_secrets, op3_pii, op4_quality, op5_decontamination, op6_embedding_dedup, op7_near_dedup,
-    op8_bpe, op9_warc, op10_url_filter)}
+    op1_lm_scores, op2_secrets, op3_pii, op4_quality, op5_decontamination, op6_embedding_dedup,
+    op7_near_dedup, op8_bpe, op9_warc, op10_url_filter)}
 
 WORD_SPLIT = r"list_filter(string_split_regex(lower({text}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
