@@ -22,17 +22,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     edges = written(edges, "links")
-    before = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before or not now[0]:
-            break
-        before = now
+    # Done once every smaller end is the root of a star: no link leads on from it.
+    while not edges.isEmpty() and not edges.select("v").join(
+            edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or _forks(edges):
         edges = written(_small_star(_large_star(edges)), "star")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
         edges.select("v", "v").distinct())
 
 
+def _forks(edges: DataFrame) -> bool:
+    """Whether a node is linked to two smaller ones."""
+    return not edges.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y")).where(
+        "x != y").isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node among all of them."""
     both = edges.union(edges.select("v", "u"))
@@ -42,7 +45,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them."""
-    edges = edges.distinct()
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     smaller = edges.join(least, "u").where("v != m").select(
         F.col("v").alias("u"), F.col("m").alias("v"))

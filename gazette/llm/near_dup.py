@@ -8,12 +8,11 @@
    can lower any slot.
 3. ``BANDS`` groups of slots are hashed to buckets. With 32 bands of 5, a pair at similarity 0.8
    shares no bucket with probability 0.000003.
-4. Links of a bucket are searched without its pairs. In a *hub round* every class is compared with
-   one other: the first, in a random order, of one of its buckets, if that is not yet in its
-   component; the pairs are as many as classes at most. Rounds go on until few pairs that share a
-   bucket are in different components, or rounds stop helping. All those pairs are then compared in
-   blocks of chunk pairs by their signatures, and those that may be similar are checked as well, so
-   no link between components is lost.
+4. Links of a bucket are searched without its pairs. In the first round every class is checked with
+   one other, the most typical member of one of its buckets by the signatures. In later rounds every
+   class offers, in each of its buckets, the most similar member of another component, and the
+   ``OFFERS`` best of all its buckets are checked. Rounds go on until they add no link. So checks
+   grow with classes, not with pairs: two components are joined by their most similar pairs.
 5. Every link is confirmed on the full sets. Components of the links are the groups.
 
 Documents with equal ids are one vertex. A document without words (NULL, empty or blank text)
@@ -26,6 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gazette.llm.common import (
@@ -36,13 +36,12 @@ from gazette.sources.scratch import written
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-# Signatures that agree in fewer slots than this share of ``similarity`` are not checked: five
+# Signatures that agree in fewer slots than this share of the similarity are not checked: four
 # standard deviations of 160 slots below the threshold, at 0.8.
-SLACK = 0.8
+SLACK = 0.87
 BLOCK = 1024
-HUB_ROUNDS = 6
-# Open pairs per class from which on another hub round pays.
-OPEN_PAIRS = 4
+CENTRAL_BANDS = 8
+OFFERS = 4
 
 
 def shingle_set(hashes: WordHashes, text: str, n: int) -> np.ndarray:
@@ -136,42 +135,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each class with the first of another component in one of its buckets, in a random order."""
-    order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-    first = F.struct(order.alias("o"), "rep", "component")
-    hubs = members.groupBy("bucket").agg(F.min(first).alias("hub")).where("hub IS NOT NULL")
-    far = members.join(hubs, "bucket").where("component != hub.component")
-    chosen = far.groupBy("rep").agg(F.min("hub").alias("hub"))
-    return chosen.select(F.least("rep", "hub.rep").alias("a"),
-                         F.greatest("rep", "hub.rep").alias("b")).distinct()
+def _central_pairs(members: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """Each class with the most typical member of one of its buckets, the one most like it.
+
+    Of a large bucket every chunk has its own. Looks into the first ``CENTRAL_BANDS`` bands.
+    """
+    some = members.where(F.col("band") < CENTRAL_BANDS).select("bucket", "rep")
+    own = in_blocks(some, ["bucket"], "rep", block).where("lo = hi").join(slots, "rep")
+    found = over_blocks(own, ["bucket", "lo"], _central, "rep bigint, hub bigint, same bigint")
+    best = found.groupBy("rep").agg(F.max(F.struct("same", "hub")).alias("best"))
+    return best.select(F.least("rep", "best.hub").alias("a"),
+                       F.greatest("rep", "best.hub").alias("b")).distinct()
+
+
+def _central(group: pa.Table) -> dict[str, np.ndarray] | None:
+    rep = group.column("rep").to_numpy()
+    slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8)
+    slots = slots.reshape(len(rep), -1)
+    if len(rep) < 2:
+        return None
+    # How many members agree with each member, summed over the slots.
+    typical = np.zeros(len(rep))
+    for column in slots.T:
+        typical += np.bincount(column, minlength=256)[column]
+    at = np.lexsort((rep, -typical))[0]
+    others = np.arange(len(rep)) != at
+    return {"rep": rep[others], "hub": np.full(others.sum(), rep[at]),
+            "same": (slots[others] == slots[at]).sum(1)}
+
+
+def _nearest_pairs(members: DataFrame, slots: DataFrame, least: float, block: int) -> DataFrame:
+    """The best offers of each class: partners in other components that share a bucket."""
+    mixed = members.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    open_ = members.join(mixed, "bucket", "left_semi").select("bucket", "rep", "component")
+    dealt = in_blocks(open_, ["bucket"], "rep", block).join(slots, "rep")
+    offers = over_blocks(dealt, ["bucket", "lo", "hi"], _nearest(least),
+                         "rep bigint, hub bigint, same bigint")
+    once = offers.groupBy("rep", "hub").agg(F.max("same").alias("same"))
+    place = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("same"), "hub"))
+    return once.withColumn("place", place).where(F.col("place") <= OFFERS).select(
+        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def _alike(share: float):
-    """Pairs of different components in a block whose signatures agree in ``share`` of the slots."""
+def _nearest(least: float):
+    """For each row of a block the row of another component whose signature agrees most."""
 
     def work(group: pa.Table) -> dict[str, np.ndarray] | None:
-        if group.num_rows < 2:
-            return None
         rep = group.column("rep").to_numpy()
         component = group.column("component").to_numpy()
+        if len(rep) < 2:
+            return None
         slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8)
         slots = slots.reshape(len(rep), -1)
-        a, b = [], []
-        for i in range(len(rep) - 1):
-            later = i + 1 + np.flatnonzero(component[i + 1:] != component[i])
-            same = (slots[later] == slots[i]).mean(1)
-            later = later[same >= share]
-            a.append(np.full(len(later), rep[i]))
-            b.append(rep[later])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return {"a": np.minimum(a, b), "b": np.maximum(a, b)} if len(a) else None
+        best, partner = np.full(len(rep), -1), np.zeros(len(rep), np.int64)
+        for i in range(len(rep)):
+            same = (slots == slots[i]).sum(1)
+            same[component == component[i]] = -1
+            partner[i] = same.argmax()
+            best[i] = same[partner[i]]
+        good = best >= least * slots.shape[1]
+        return {"rep": rep[good], "hub": rep[partner[good]], "same": best[good]}
 
     return work
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
-           text_col: str = "text", block: int = BLOCK, open_pairs: float = OPEN_PAIRS
+           text_col: str = "text", block: int = BLOCK
            ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -187,37 +217,25 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     # Classes whose smallest ids coincide (one id with two texts) are one vertex.
     links = written(_buckets(classes), "buckets")
     members = links.withColumn("component", F.col("rep"))
+    slots = classes.groupBy("rep").agg(F.first("slots").alias("slots"))
     found: DataFrame | None = None
     tried: DataFrame | None = None
-    most = open_pairs * classes.count()
-    for turn in range(HUB_ROUNDS):
-        if _open_pairs(members) <= most:
-            break
-        pairs = _hub_pairs(members, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    while True:
+        if tried is None:
+            pairs = _central_pairs(members, slots, block)
+        else:
+            pairs = _nearest_pairs(members, slots, SLACK * percent / 100, block).join(
+                tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         new = written(confirmed(pairs, texts, n, percent), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        if new.isEmpty():
+        if tried is not None and new.isEmpty():
             break
+        tried = pairs if tried is None else tried.union(pairs)
         found = new if found is None else found.union(new)
-        members = _joined(links, found)
-    # What still shares a bucket across components, by signatures and then by full sets.
-    mixed = members.groupBy("bucket").agg(
-        F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    dealt = in_blocks(members.join(mixed, "bucket", "left_semi"), ["bucket"], "rep", block).join(
-        classes.groupBy("rep").agg(F.first("slots").alias("slots")), "rep")
-    rest = over_blocks(dealt, ["bucket", "lo", "hi"], _alike(SLACK * percent / 100),
-                       "a bigint, b bigint").distinct()
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    new = written(confirmed(written(rest, "pairs"), texts, n, percent), "links")
-    found = new if found is None else found.union(new)
-    by_class = classes.select(*key, "rep").join(
-        components(found).withColumnRenamed("node", "rep"), "rep", "left").select(
+        group = components(found).withColumnRenamed("node", "rep")
+        members = written(links.join(group, "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep")), "members")
+    by_class = classes.select(*key, "rep").join(group, "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.select(F.col("doc_id"), "n_shingles", *[
         F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in key]).join(
@@ -228,28 +246,12 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``bucket, rep`` of the buckets that hold at least two classes."""
-    every = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
+    """``band, bucket, rep`` of the buckets that hold at least two classes."""
+    every = classes.select("rep", F.posexplode("bands").alias("band", "bucket")).distinct()
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return every.join(shared.select("bucket"), "bucket", "left_semi")
 
 
-def _open_pairs(members: DataFrame) -> int:
-    """Pairs that share a bucket but no component, once per bucket."""
-    c = members.groupBy("bucket", "component").count()
-    of = c.groupBy("bucket").agg(F.sum("count").alias("all"),
-                                 F.sum(F.col("count") * F.col("count")).alias("own"))
-    return of.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-
-
-def _joined(links: DataFrame, found: DataFrame) -> DataFrame:
-    """The buckets' members with their components."""
-    group = components(found).withColumnRenamed("node", "rep")
-    named = links.join(group, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    return written(named, "members")
-
-
 def without_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and all rows without an id."""

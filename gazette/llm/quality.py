@@ -147,11 +147,11 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """All rows and columns of ``docs`` plus ``log_weight``, ``sample_key`` and ``selected``."""
     sample = written(sampled_labels(labels, id_col, label_col, labelled), "labels")
     # At most ``labelled`` rows of 12 bytes.
-    marked = docs.withColumn("_id", F.col(id_col).cast("bigint")).join(
-        F.broadcast(sample.withColumnRenamed("id", "_id")), "_id", "left").withColumnRenamed(
-        "label", "_label")
+    docs = docs.drop("log_weight", "sample_key", "selected")
+    marked = docs.withColumn("_sample_id", F.col(id_col).cast("bigint")).join(
+        F.broadcast(sample.toDF("_sample_id", "_sample_label")), "_sample_id", "left")
     ratio = docs.sparkSession.sparkContext.broadcast(
-        log_ratios(marked, text_col, F.col("_label") > 0))
+        log_ratios(marked, text_col, F.col("_sample_label") > 0))
 
     def work(texts: list[str]) -> dict[str, list]:
         out = []
@@ -161,9 +161,9 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         return {"log_weight": out}
 
     weighed = with_results(marked, work, "log_weight double", text_col).withColumn(
-        "sample_key", F.col("log_weight") + gumbel(F.col("_id"), seed))
+        "sample_key", F.col("log_weight") + gumbel(F.col("_sample_id"), seed))
     scored = written(weighed.select(F.col("log_weight").alias("weight"),
-                                    F.col("_label").alias("label"), "sample_key"), "weights")
+                                    F.col("_sample_label").alias("label"), "sample_key"), "weights")
     cut = best_cut(scored)
     k = scored.where(F.col("weight") >= cut).count() if cut is not None else 0
     floor = kth_largest(scored, "sample_key", k) if k else float("-inf")
