@@ -16,7 +16,7 @@ MISSING_KEY = "missing_key"
 BAD_VALUE = "bad_value"
 CUT_SHORT = "length"
 OUTER_BRACES = r"(?s)\{.*\}"
-INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
 
 
 def strict_object(reply: Column) -> Column:
@@ -46,8 +46,12 @@ def has_value(fields: Column, key: Column | str) -> Column:
 
 
 def value_label(value: Column) -> Column:
-    """0 or 1 from a field value; JSON booleans count as 1 and 0, all else is NULL."""
-    number = F.when(F.regexp_like(value, F.lit(INTEGER)), F.trim(value).try_cast("int"))
+    """0 or 1 from a field value, all else is NULL.
+
+    Whole decimals count as their integer, booleans and their names as 1 and 0.
+    """
+    number = F.when(F.regexp_like(value, F.lit(WHOLE_NUMBER)),
+                    F.trim(value).try_cast("double").try_cast("int"))
     number = F.when(value == "true", 1).when(value == "false", 0).otherwise(number)
     return F.when(number.isin(0, 1), number)
 

@@ -105,5 +105,5 @@ def select(names: Sequence[str] | None = None, known: Sequence[Candidate] | None
         return known, []
     chosen = [c for c in known if c.name in set(names)]
     if not chosen:
-        raise ValueError("no valid model names")
+        raise ValueError(f"none of {sorted(set(names))} is a candidate")
     return chosen, sorted(set(names) - {c.name for c in known})

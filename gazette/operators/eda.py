@@ -111,7 +111,8 @@ def describe(view: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataF
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     quartiles = exact_quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["feature"])
-    return basics.join(quartiles, "feature")
+    # A column without values has a count of 0 and no quartiles.
+    return basics.join(quartiles, "feature", "left")
 
 
 def box_stats(view: DataFrame, value: str, label: str) -> DataFrame:

@@ -46,7 +46,7 @@ def scope_rows(df: DataFrame, scope: str) -> DataFrame:
         return df
     if scope == TEST:
         return df.filter(F.col("split") == TEST)
-    raise ValueError("scope must be 'test' or 'all'")
+    raise ValueError(f"unknown scope {scope!r}")
 
 
 def first_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:

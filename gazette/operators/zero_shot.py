@@ -59,10 +59,11 @@ def nearest_prototype(df: DataFrame, vector: str, prototypes: DataFrame, label:
     pairs of a row are made and reduced in the task that holds the row.
     """
     listed = prototypes.agg(F.array_sort(F.collect_list(F.struct(label, "prototype")))).scalar()
-    pairs = df.select(*by, vector, F.posexplode(listed).alias("label_index", "_p"))
-    scored = pairs.select(*by, "label_index", F.col(f"_p.{label}").alias("candidate"),
-                          cosine(F.col(vector), F.col("_p.prototype")).alias("score"))
-    return best_label(scored, by)
+    best = F.array_max(F.transform("_listed", lambda p, i: F.struct(
+        cosine(F.col(vector), p["prototype"]).alias("score"), (-i).alias("order"),
+        p[label].alias("candidate"))))
+    return df.select(*by, vector, listed.alias("_listed")).select(
+        *by, best.alias("_b")).select(*by, "_b.candidate", "_b.score")
 
 
 def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series],

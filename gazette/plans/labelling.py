@@ -39,7 +39,7 @@ REPLY_SHAPES = {
     "6": ('{"political": 7}', "stop"), "7": ("", "length"), "8": ("  \n", "stop"),
     "9": ('{"political": ', "length"), "a": ("no idea", "stop"),
     "b": ('{"political": true}', "stop"), "c": ('{"political": 1, "why": "vote"}', "stop"),
-    "d": ('{"political": 0.7}', "stop"), "e": ('Answer {"other": "1"}', "stop"),
+    "d": ('{"political": 0.7}', "stop"), "e": ('Answer {"other": 1.0}', "stop"),
     "f": ('{"political": null}', "stop"),
 }
 
@@ -69,7 +69,7 @@ ob AS (SELECT *, coalesce(strict, embedded) AS o FROM js),
 va AS (SELECT *, CASE WHEN list_contains(json_keys(o), 'political') THEN o->>'political'
     WHEN len(json_keys(o)) = 1 THEN o->>(json_keys(o)[1]) END AS v FROM ob),
 nu AS (SELECT *, CASE WHEN v = 'true' THEN 1 WHEN v = 'false' THEN 0
-    WHEN regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(trim(v) AS INTEGER) END AS num
+    WHEN regexp_matches(v, '^\\s*[+-]?[0-9]+(\\.0*)?\\s*$') THEN TRY_CAST(trim(v) AS INTEGER) END AS num
   FROM va),
 pa AS (SELECT *, CASE WHEN num IN (0, 1) THEN num END AS label FROM nu),
 st AS (SELECT *, CASE

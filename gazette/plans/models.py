@@ -40,11 +40,10 @@ def tfidf_vectors(spark, sf_dir):
     vectorizer = V.fit_vectorizer(counts.filter(train).drop("split"), n, SETTINGS)
     part = V.sparse_rows(counts.drop("split"), vectorizer)
     table = V.write_features(rows, [(part, vectorizer.size)], ["id"])
-    values = vector_to_array(F.col("features"))
-    nonzero = F.filter(values, lambda x: x != 0)
-    return rounded(table.vectors.select(
-        "id", F.size(nonzero).alias("n_terms"),
-        F.aggregate(nonzero, F.lit(0.0), lambda a, x: a + x).alias("weight_sum")), "weight_sum")
+    values = F.col("features.values")
+    return rounded(table.arrays.select(
+        "id", F.size(values).alias("n_terms"),
+        F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("weight_sum")), "weight_sum")
 
 
 @query("year_one_hot", f"""WITH {SPLIT_SQL},
@@ -184,6 +183,12 @@ def linear_vote_run(spark, sf_dir):
     return summary
 
 
+@query("feature_set_cv_domestic")
+def feature_set_cv_domestic(spark, sf_dir):
+    return rounded(feature_sets.eval_feature_sets(view(spark, sf_dir), "domestic", parallelism=8),
+                   "roc_auc_mean", "bacc_mean")
+
+
 @query("feature_set_cv")
 def feature_set_cv(spark, sf_dir):
     return rounded(feature_sets.eval_feature_sets(view(spark, sf_dir), "political", parallelism=8),

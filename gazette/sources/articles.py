@@ -35,19 +35,22 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Fail before any job runs when a column is missing."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"missing expected columns: {', '.join(missing)}")
+        raise KeyError(f"the table lacks {missing}")
     return df
 
 
 def clean_label(column: str) -> Callable[[DataFrame], DataFrame]:
-    """Keep the rows whose label is a number other than the sentinel; the label becomes INT."""
+    """Keep the rows whose label is a number other than the sentinel; the label becomes INT.
+
+    A number beyond the range of INT is unreadable too.
+    """
 
     def run(df: DataFrame) -> DataFrame:
         require_columns(df, [column])
         number = L.label_number(F.col(column))
         return (
-            df.filter(number.isNotNull() & (number != L.SENTINEL))
-            .withColumn(column, number.cast("int"))
+            df.filter(number.try_cast("int").isNotNull() & (number != L.SENTINEL))
+            .withColumn(column, number.try_cast("int"))
         )
 
     return run

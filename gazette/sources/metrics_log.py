@@ -45,11 +45,18 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def is_absent(error: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing yet, and for no other reason."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The whole log with all columns it ever had; an absent log is empty with ``schema``."""
     try:
         return spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -64,7 +71,9 @@ def read_metrics_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         lines = spark.read.options(header=False, escape='"', mode="PERMISSIVE").schema(
             T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
         ).csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return spark.createDataFrame([], wanted)
     first = wanted.fields[0].name
     body = lines.filter(F.col(first).isNull() | (F.col(first) != first))

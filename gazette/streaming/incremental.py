@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gazette.functions.replies import OK
 from gazette.operators.labelling import parse_replies
+from gazette.sources.metrics_log import is_absent
 
 REPLY_SCHEMA = "id BIGINT, y_true INT, reply STRING, finish_reason STRING"
 
@@ -25,7 +26,9 @@ def read_replies(spark: SparkSession, path: str, schema: str = REPLY_SCHEMA,
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
         return None
 
 
@@ -37,7 +40,9 @@ def append_new(batch: DataFrame, batch_id: int, path: str) -> None:
     are removed by an anti join.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["id"])
+    # Of several rows with one id the smallest stays, whatever the order of the tasks.
+    others = [c for c in batch.columns if c != "id"]
+    fresh = batch.groupBy("id").agg(F.min(F.struct(*others)).alias("row")).select("id", "row.*")
     stored = _stored(spark, path)
     if stored is not None:
         earlier = stored.filter(F.col("batch") != batch_id).select("id")

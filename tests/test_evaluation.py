@@ -165,11 +165,11 @@ def test_member_selection(spark):
     log = spark.createDataFrame(
         [("tfidf_log_reg", 0.82), ("count_linear_svm", 0.77), ("tfidf_naive_bayes", 0.9),
          ("tfidf_linear_svm", 0.81)], "model STRING, f1 DOUBLE")
-    two = {r["model"] for r in ensemble.top_linear(log, 7).filter("selected_for_ensemble").collect()}
+    two = {r["model"] for r in ensemble.top_linear(log, 7, max_members=2).filter("selected_for_ensemble").collect()}
     assert two == {"tfidf_log_reg", "tfidf_linear_svm"}
     three = ensemble.top_linear(log, 3, max_members=None).filter("selected_for_ensemble")
     assert three.count() == 3
-    row = ensemble.ensemble_row(ensemble.top_linear(log, 7)).first()
+    row = ensemble.ensemble_row(ensemble.top_linear(log, 7, max_members=2)).first()
     assert row["members"] == ["tfidf_log_reg", "tfidf_linear_svm"] and row["top_k_used"] == 2
     unknown = ensemble.unknown_models(log, ["tfidf_log_reg", "bert"])
     assert [r[0] for r in unknown.collect()] == ["bert"]
