@@ -11,9 +11,13 @@
 4. Links of a bucket are searched without its pairs. In the first round every class is checked with
    one other, the most typical member of one of its buckets by the signatures. In later rounds every
    class offers, in each of its buckets, the most similar member of another component, and the
-   ``OFFERS`` best of all its buckets are checked. Rounds go on until they add no link. So checks
-   grow with classes, not with pairs: two components are joined by their most similar pairs.
-5. Every link is confirmed on the full sets. Components of the links are the groups.
+   ``OFFERS`` best of all its buckets are checked. Rounds go on until they add no link, so most
+   links cost checks that grow with classes, not with pairs.
+5. Then nothing is left to chance offers: every pair of different components that shares a bucket
+   and looks alike by its signatures is compared on the full sets, inside blocks. The sets go to the
+   classes of a block that have such a partner there, pairs never become rows, and a block gives at
+   most one link less than it has components.
+6. Every link is confirmed on the full sets. Components of the links are the groups.
 
 Documents with equal ids are one vertex. A document without words (NULL, empty or blank text)
 links with nothing, nor does one without an id. Fewer words than ``n`` make one shingle of all.
@@ -42,6 +46,8 @@ SLACK = 0.87
 BLOCK = 1024
 CENTRAL_BANDS = 8
 OFFERS = 4
+# Entries of the lists of a block's shingles that are counted at a time.
+POSTINGS = 1 << 22
 
 
 def shingle_set(hashes: WordHashes, text: str, n: int) -> np.ndarray:
@@ -200,6 +206,109 @@ def _nearest(least: float):
     return work
 
 
+def _alike(least: float):
+    """The rows of a block that have a partner in another component with a similar signature.
+
+    Of two chunks only pairs between them count, the others meet in a block of one chunk. Given all
+    bands of the rows, a pair counts in the first bucket it shares only.
+    """
+
+    def work(group: pa.Table) -> dict[str, np.ndarray] | None:
+        rep = group.column("rep").to_numpy()
+        component, chunk = group.column("component").to_numpy(), group.column("chunk").to_numpy()
+        lo, hi, band = (group.column(c)[0].as_py() for c in ("lo", "hi", "band"))
+        slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8)
+        slots = slots.reshape(len(rep), -1)
+        bands = None
+        if "bands" in group.column_names:
+            bands = np.array(group.column("bands").to_pylist(), np.int64)
+        good = np.zeros(len(rep), bool)
+        for i in np.flatnonzero(chunk == lo):
+            other = (component != component[i]) & (chunk == hi)
+            other[other] = (slots[other] == slots[i]).sum(1) >= least * slots.shape[1]
+            if bands is not None and other.any():
+                equal = bands[other] == bands[i]
+                other[other] = equal[:, band] & ~equal[:, :band].any(1)
+            if other.any():
+                good[i] = True
+                good |= other
+        if not good.any():
+            return None
+        rep, at = np.unique(rep[good], return_index=True)
+        fill = np.ones(len(rep), np.int64)
+        return {"bucket": fill * group.column("bucket")[0].as_py(), "band": fill * band,
+                "lo": fill * lo, "hi": fill * hi, "chunk": chunk[good][at].astype(np.int64),
+                "rep": rep, "component": component[good][at]}
+
+    return work
+
+
+def _linked(percent: int):
+    """Links between the components of a block, by full sets; each joins two of its components."""
+
+    def work(group: pa.Table) -> dict[str, np.ndarray] | None:
+        rep = group.column("rep").to_numpy()
+        component = group.column("component").to_numpy().copy()
+        chunk = group.column("chunk").to_numpy()
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        sets = group.column("x").combine_chunks()
+        size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(rep)), size)
+        first = np.cumsum(size) - size
+        # The rows that hold each shingle, in a row.
+        holders = row[np.argsort(code, kind="stable")]
+        many = np.bincount(code)
+        begin = np.cumsum(many) - many
+        a, b = [], []
+        for i in np.flatnonzero(chunk == lo):
+            other = (component != component[i]) & (chunk == hi)
+            if not other.any():
+                continue
+            same = np.zeros(len(rep), np.int64)
+            mine = code[first[i]:first[i] + size[i]]
+            mine = mine[many[mine] > 1]
+            step = max(1, POSTINGS // len(rep))
+            for at in range(0, len(mine), step):
+                some = mine[at:at + step]
+                m = many[some]
+                place = np.repeat(begin[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                same += np.bincount(holders[place], minlength=len(rep))
+            near = other & (100 * same >= percent * (size + size[i] - same))
+            for j in np.flatnonzero(near):
+                if component[j] != component[i]:
+                    a.append(min(rep[i], rep[j]))
+                    b.append(max(rep[i], rep[j]))
+                    component[component == component[j]] = component[i]
+        return {"a": np.array(a, np.int64), "b": np.array(b, np.int64)} if a else None
+
+    return work
+
+
+def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int,
+          block: int) -> DataFrame:
+    """Links ``a, b`` among all alike pairs of different components that share a bucket."""
+    mixed = members.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    keys, least = ["bucket", "lo", "hi"], SLACK * percent / 100
+    listed = ("bucket bigint, band bigint, lo bigint, hi bigint, chunk bigint, rep bigint, "
+              "component bigint")
+    dealt = in_blocks(members.join(mixed, "bucket", "left_semi"), ["bucket"], "rep", block)
+    some = written(over_blocks(dealt.join(classes.select("rep", "slots"), "rep"), keys,
+                               _alike(least), listed), "alike")
+    some = written(over_blocks(some.join(classes.select("rep", "slots", "bands"), "rep"), keys,
+                               _alike(least), listed), "alike-once")
+    hashes = WordHashes()
+
+    def work(texts: list[str]) -> dict[str, list]:
+        return {"x": [shingle_set(hashes, t, n).view(np.int64) for t in texts]}
+
+    sets = with_results(texts.join(some.select(F.col("rep").alias("doc_id")).distinct(), "doc_id",
+                                   "left_semi"), work, "x array<bigint>", keep=["doc_id"])
+    return over_blocks(some.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), keys,
+                       _linked(percent), "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
            text_col: str = "text", block: int = BLOCK
            ) -> DataFrame:
@@ -235,6 +344,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         group = components(found).withColumnRenamed("node", "rep")
         members = written(links.join(group, "rep", "left").withColumn(
             "component", F.coalesce("component", "rep")), "members")
+    new = written(_rest(members, classes, texts, n, percent, block), "links")
+    if not new.isEmpty():
+        found = new if found is None else found.union(new)
+        group = components(found).withColumnRenamed("node", "rep")
     by_class = classes.select(*key, "rep").join(group, "rep", "left").select(
         *key, F.coalesce("component", "rep").alias("component_id"))
     out = rows.select(F.col("doc_id"), "n_shingles", *[

@@ -72,6 +72,37 @@ def test_groups_equal_brute_force(spark, n, block):
     assert set(got) == set(want)
 
 
+def test_true_pairs_are_found_among_many_slightly_less_similar(spark):
+    """Hundreds of classes at 0.75 to 0.79 around pairs at 0.80 to 0.85."""
+    rng = random.Random(11)
+    base = ["b%d" % k for k in range(5 * 17 * 17 + 4)]
+
+    def text(i, spots, tail, like=None, kept=0):
+        """The base with an own word at each spot, or the word of another text."""
+        out = list(base)
+        for k, spot in enumerate(spots):
+            out[5 * (17 * k + spot) + 2] = f"own{like if k < kept else i}x{k}"
+        return i, " ".join(out + [f"tail{i}x{k}" for k in range(tail)])
+
+    # Any two of these share at most one spot.
+    spots = {100 + 17 * x + y: [(x + y * k) % 17 for k in range(17)]
+             for x in range(17) for y in range(17)}
+    rows = [text(i, s, 5) for i, s in spots.items()]
+    for i in range(100, 380, 14):
+        rows.append(text(1000 + i, spots[i][:4] + [rng.randrange(17) for _ in range(13)], 55, i, 4))
+    number: dict = {}
+    sets = {i: {number.setdefault(x, len(number)) for x in s}
+            for i, s in shingle_sets(rows, 5).items()}
+    same = [(len(sets[a] & sets[b]), len(sets[a]) + len(sets[b])) for a, b in combinations(sets, 2)]
+    assert sum(0.75 <= x / (y - x) < 0.8 for x, y in same) > 40_000
+    assert sum(0.8 <= x / (y - x) < 0.85 for x, y in same) >= 20
+    want = plain_groups(sets, 80)
+    got = {r.doc_id: r.component_id for r in near_dup.groups(
+        odd_documents(spark, rows), block=64).where("doc_id >= 100").collect()}
+    assert len(set(want.values())) > 200
+    assert got == want
+
+
 def test_copies_leave_and_rows_without_id_stay(spark):
     kept = near_dup.without_copies(odd_documents(spark, copies()))
     ids = [r.doc_id for r in kept.collect()]
