@@ -116,13 +116,24 @@ def test_predictions(spark, sf_dir, model: C.Candidate, index: int = 0, target="
     return predicted.select("id", F.col("label").alias("y_true"), "y_pred", "score")
 
 
-def register_model(name: str, model_name: str, index: int = 0) -> None:
+def register_model(name: str, model_name: str, point: int | None = None) -> None:
+    """The whole job: search the grid over five folds if it has several points, refit the best.
+
+    ``point`` registers ``<name>_point`` as well, that point of the grid without a search.
+    """
     @query(name)
     def run(spark, sf_dir):
-        return test_predictions(spark, sf_dir, candidate(model_name), index)
+        data = training.prepare(training_table(spark, sf_dir))
+        return training.train(data, candidate(model_name), parallelism=8).predictions.select(
+            "id", F.col("label").alias("y_true"), "y_pred", "score")
+
+    if point is not None:
+        @query(f"{name}_point")
+        def run_point(spark, sf_dir):
+            return test_predictions(spark, sf_dir, candidate(model_name), point)
 
 
-# Grid indices: the last word point without class weights for the linear models.
+# Points: the last word point without class weights for the linear models.
 register_model("tfidf_log_reg", "tfidf_log_reg", 14)
 register_model("desc_headline_year", "tfidf_log_reg_desc_headline_year")
 register_model("tfidf_svm", "tfidf_linear_svm", 14)
@@ -167,19 +178,17 @@ def grid_search(spark, sf_dir):
 
 @query("grid_best")
 def grid_best(spark, sf_dir):
-    """A search over C and class weights with refit on the whole training split."""
-    full = candidate("count_log_reg")
-    first = full.grid[0].settings
-    part = C.Candidate(full.name, full.kind, tuple(p for p in full.grid if p.settings == first))
-    log = training.run_baselines(training_table(spark, sf_dir), [part], parallelism=8)
+    """The whole count grid, five folds, with refit on the whole training split."""
+    log = training.run_baselines(training_table(spark, sf_dir), [candidate("count_log_reg")],
+                                 parallelism=8)
     return rounded(log, "f1", "cv_f1").select("model", "f1", "cv_f1", "cv")
 
 
 @query("linear_vote_run")
 def linear_vote_run(spark, sf_dir):
-    models = [training.single_point(candidate(n), i) for n, i in
-              (("tfidf_log_reg", 14), ("tfidf_linear_svm", 14), ("tfidf_naive_bayes", 1))]
-    summary, _, _ = training.run_ensemble(training_table(spark, sf_dir), models)
+    """All candidates, each searched over its grid, and the vote of the best linear ones."""
+    summary, _, _ = training.run_ensemble(training_table(spark, sf_dir), C.candidates(),
+                                          parallelism=8)
     return summary
 
 

@@ -146,3 +146,35 @@ def test_feature_sets(spark):
     assert rows[feature_sets.BASELINE]["bacc_mean"] == pytest.approx(0.5)
     with pytest.raises(ValueError):
         feature_sets.feature_sets("sports")
+
+
+def test_queries_search_whole_grids(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from gazette.plans import models
+
+    searched = []
+
+    def grid_scores(data, candidate, **_):
+        searched.append((candidate.name, len(candidate.grid)))
+        raise InterruptedError
+
+    def run_ensemble(rows, candidates, **_):
+        searched.extend((c.name, len(c.grid)) for c in candidates)
+        raise InterruptedError
+
+    monkeypatch.setattr(models.training, "prepare", lambda *_: None)
+    monkeypatch.setattr(models, "training_table", lambda *_: None)
+    monkeypatch.setattr(models.training, "grid_scores", grid_scores)
+    monkeypatch.setattr(models.training, "run_ensemble", run_ensemble)
+    queries = entry.queries()
+    for name, want in (
+            ("tfidf_log_reg", [("tfidf_log_reg", 26)]), ("tfidf_svm", [("tfidf_linear_svm", 26)]),
+            ("tfidf_naive_bayes", [("tfidf_naive_bayes", 8)]),
+            ("count_log_reg", [("count_log_reg", 24)]), ("count_svm", [("count_linear_svm", 24)]),
+            ("grid_best", [("count_log_reg", 24)]),
+            ("linear_vote_run", [(c.name, len(c.grid)) for c in models.C.candidates()])):
+        searched.clear()
+        with pytest.raises(InterruptedError):
+            queries[name](spark, "")
+        assert searched == want, name
+    assert len(models.C.candidates()) == 9 and "tfidf_log_reg_point" in queries
