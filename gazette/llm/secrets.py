@@ -4,7 +4,10 @@ Natural language and ordinary code need few tokens per character under a byte-pa
 random strings hardly merge. A run of key characters is reported as ``random`` if it yields fewer
 than ``MOST_CHARS_PER_TOKEN`` characters per token, mixes letters and digits, and is neither a
 known digest (a bare hexadecimal string of a common digest length), a UUID, a number, nor a
-version, date, domain, address or path, and touches no span of a fixed pattern.
+version or date, and touches no span of a fixed pattern. Domains, file names and addresses are
+matched as wholes and taken out of a run; what is left of it beside them is judged. Of a run with
+many separators the parts of key length that mix letters and digits are judged, or all of it if
+they are most of it, so readable paths stay and blobs that happen to hold separators are found.
 
 Spans are code points, end exclusive. NULL and empty texts have none. Texts may be of any length:
 all patterns are linear in it. Each row is judged by itself, so repeated rows repeat their result.
@@ -13,6 +16,7 @@ all patterns are linear in it. Each row is judged by itself, so repeated rows re
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +42,12 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-# Part of an address, a path or a query rather than a string of its own.
-AHEAD, BEHIND = set("@./&?#"), set("@:.")
+# An address; a domain or file name, which has labels on both sides of its dots and ends in a short
+# one that begins with a letter.
+NAME = re.compile(
+    r"(?<![A-Za-z0-9_.%+-])(?:[A-Za-z0-9_.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z0-9-]{1,63}"
+    r"|(?:[A-Za-z0-9_-]{1,63}\.)+[A-Za-z][A-Za-z0-9]{1,9}(?![A-Za-z0-9_=+-]))")
+SEPARATOR = re.compile(r"[/_-]")
 PLAIN = re.compile(r"[0-9=/_+-]+|[^0-9]+|[A-Za-z]+[_-]?[0-9]{1,6}|v?[0-9]+([_-][0-9A-Za-z]{1,8})*")
 
 
@@ -53,25 +61,59 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def mixed(run: str) -> bool:
+    """Long enough, of letters and digits, and no digest, identifier, number or plain name."""
+    if len(run) < LEAST_RUN or not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
+        return False
+    if len(run) in DIGEST_LENGTHS and HEXADECIMAL.fullmatch(run):
+        return False
+    return not (UUID.fullmatch(run) or PLAIN.fullmatch(run))
+
+
+def beside(start: int, end: int, names: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted disjoint ``names`` leave of a span."""
+    out = []
+    for at in range(bisect_left(names, (start, start)) - 1, len(names)):
+        a, b = names[at] if at >= 0 else (start, start)
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                out.append((start, a))
+            start = b
+    return [*out, (start, end)] if start < end else out
+
+
 def candidate_runs(text: str, taken: Sequence[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
     """Runs long and mixed enough to be judged by their tokens."""
     covered, out = Covered(taken), []
+    names: list[tuple[int, int]] | None = None
     for m in RUN.finditer(text):
         start, end = m.span()
-        run = m[0]
-        if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
+        if not any(map(str.isdigit, m[0])) or not any(map(str.isalpha, m[0])):
             continue
         if covered.overlaps(start, end):
             continue
-        if len(run) in DIGEST_LENGTHS and HEXADECIMAL.fullmatch(run):
-            continue
-        if UUID.fullmatch(run) or PLAIN.fullmatch(run):
-            continue
-        if run.count("/") > 2 or run.count("-") > 3 or run.count("_") > 3:
-            continue
-        if text[end:end + 1] in BEHIND or text[start - 1:start] in AHEAD:
-            continue
-        out.append((start, end))
+        pieces = [(start, end)]
+        if text[end:end + 1] in ("@", ".") or text[max(0, start - 1):start] in ("@", "."):
+            if names is None:
+                names = [n.span() for n in NAME.finditer(text)]
+            pieces = beside(start, end, names)
+        for a, b in pieces:
+            run = text[a:b]
+            if not mixed(run):
+                continue
+            if (a, b) == (start, end) and run.count("/") <= 2 and run.count("-") <= 3 \
+                    and run.count("_") <= 3:
+                out.append((a, b))
+                continue
+            parts, at = [], a
+            for part in SEPARATOR.split(run):
+                if mixed(part):
+                    parts.append((at, at + len(part)))
+                at += len(part) + 1
+            whole = 2 * sum(y - x for x, y in parts) >= b - a
+            out += [(a, b)] if whole else parts
     return out
 
 

@@ -80,6 +80,32 @@ def test_random_strings_are_found_and_digests_are_not(spark):
     assert secrets.digests(no_documents(spark), ranks_path(), P.PATTERN).count() == 0
 
 
+def test_random_strings_beside_marks_are_found_and_names_are_not(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, more="": "".join(rng.choice(letters + more) for _ in range(n))
+    a, b, c, blob = key(40), key(60, "_-"), key(43), key(120, "+/") + "/9a/Z0/b1/" + key(120, "+/")
+    found = [f"the key is {a}.", f"see http://x.org/get?sig={a}&x=1", f"{key(36)}.{b}.{c} is it",
+             f"data {blob} end", f"{a}: mine", f"http://x.org/a/{a}/file.pdf"]
+    plain = ["mail extraordinary.person2020@some-where2.example.org now",
+             "http://www.some-long-domain2020.example.com/some/long/path-2020/to/a-page_about_things2/x",
+             "open long-report-name-version-2020.pdf", "a.2001-important-news-of-the-day.html."]
+    rows = [(100 + k, t) for k, t in enumerate(found + plain)]
+    got = {r.doc_id: r.spans for r in secrets.digests(
+        odd_documents(spark, rows), ranks_path(), P.PATTERN).collect()}
+    text = dict(rows)
+    left = {}
+    for i, t in rows:
+        for span in filter(None, reversed(got[i].split(","))):
+            _, x, y = span.split(":")
+            t = t[:int(x)] + "*" + t[int(y):]
+        left[i] = t
+    assert [left[100 + k] for k in range(6)] == [
+        "the key is *.", "see http://x.org/get?*&x=1", "*.*.* is it", "data * end", "*: mine",
+        "http://x.org*file.pdf"]
+    assert all(left[i] == text[i] for i in range(106, 110))
+
+
 def test_spans_are_replaced(spark):
     docs = spark.createDataFrame(
         [(1, "é password=abcdef0123456789abcdef01 end"), (2, None), (3, "")],
