@@ -44,8 +44,12 @@ HEADERS = (
     ("WARC-Source-Block-Digest", "source_block_digest"),
     ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Length", "content_length"))
 
+# A head without an end tag ends before what cannot stand in a head.
 HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<head\b[^>]*>(?:(?:(?!<head\b|<body\b).)*?</head\s*>|(?:\s|<!--(?:(?!<head\b).)*?-->"
+    r"|</?(?:base|link|meta)\b[^>]*>"
+    r"|<(script|style|template|noscript|title)\b[^>]*>(?:(?!<head\b).)*?</\1\s*>)*+)"
+    r"|<(script|style|template|noscript)\b[^>]*>.*?(?:</\2\s*>|\Z)",
     re.IGNORECASE | re.DOTALL)
 BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form"

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import base64
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def test_derivatives_keep_what_they_refer_to(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages(spark, []))).count() == 0
 
 
+def test_a_head_without_an_end_hides_no_body():
+    for page in ("<head><title>x</title><body><p>seen", "<head><title>a <b></title><meta a=b>\n<p>seen",
+                 "<HEAD><script>y</script><title>x</title>seen", "<head>seen", "<head>x</head>seen",
+                 "<head><title>x</title><body>seen<!-- </head> -->",
+                 "<head><script>'<body>'</script><style>z</style></head><body>seen",
+                 "<head><noscript>z</noscript><!-- y --><link><div>seen<script>x"):
+        assert warc.plain_text(page) == "seen", page
+    start = time.time()
+    for part in ("<head>", "<head><title>", "<head><script>", "<head></title>", "<head><!--"):
+        warc.plain_text(part * 20_000)
+    assert time.time() - start < 20
+
+
 def test_rules_hosts_and_paths(spark):
     rows = [(1, "http://WWW.Example.org/es/1?q#f", None), (2, "https://example.org/en/12", None),
             (3, "https://notexample.org", None), (4, "x://a.com/fr/?x", None), (5, "no scheme", None),
