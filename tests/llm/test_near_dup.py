@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from itertools import combinations
 
@@ -121,6 +122,13 @@ def test_superminhash_estimates_with_less_variance():
     assert np.std(gap) < np.sqrt(54 / 66 * 12 / 66 / near_dup.SIZE)
 
 
+def test_few_pairs_at_the_threshold_are_refused_by_their_signatures():
+    least = int(np.ceil(near_dup.SLACK * 0.8 * near_dup.SIZE))
+    missed = sum(math.comb(near_dup.SIZE, k) * 0.8 ** k * 0.2 ** (near_dup.SIZE - k)
+                 for k in range(least))
+    assert missed < 5e-6
+
+
 def test_blocks_let_every_pair_meet(spark):
     rows = spark.range(50).selectExpr("id", "id % 2 AS b")
     met = set()
