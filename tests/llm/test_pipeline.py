@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
 
 import public_tokenizers as P
@@ -70,3 +71,12 @@ def test_stages_keep_the_columns_and_bear_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_the_last_stage_decodes_its_ids(spark):
+    docs = spark.createDataFrame([(1, "é one\n two  3", "en", "s", 13), (2, "", "en", "s", 0),
+                                  (3, None, "en", "s", None)], COLUMNS)
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.tokens_stage(
+        spark, docs, "").collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest()
+                   for i, t in ((1, "é one\n two  3"), (2, ""), (3, None))}
