@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import (
-    bpe, decontamination, embeddings, language_model, near_dup, pii, quality, secrets, url_filter,
-    warc)
+    bpe, decontamination, embeddings, language_model, merkle, near_dup, pii, quality, secrets,
+    url_filter, warc)
+from gazette.llm.checks import merkle_sql
 from gazette.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -64,9 +65,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                              url_filter.has_listed_word(F.col("key")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampering_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scores, op2_secrets, op3_pii, op4_quality, op5_decontamination, op6_embedding_dedup,
-    op7_near_dedup, op8_bpe, op9_warc, op10_url_filter)}
+    op7_near_dedup, op8_bpe, op9_warc, op10_url_filter, op12_merkle)}
 
 WORD_SPLIT = r"list_filter(string_split_regex(lower({text}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -103,4 +108,5 @@ ORACLE = {
         string_split_regex(host, '[.-]'), {list(url_filter.LISTED_WORDS)})
       THEN 'block' ELSE 'allow' END) AS verdict
     FROM parts LEFT JOIN best USING (page_id)""",
+    "op12_merkle": merkle_sql(),
 }
