@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gazette.llm.merkle import ARITY, FIELDS, LOWER, UPPER
+from gazette.llm.phrases import LEAST, LONGEST, TOP
 
 # Levels the checks unroll: 8 ** 7 rows per language, 8 ** 3 languages.
 TREE_LEVELS, TOP_LEVELS = 7, 3
@@ -66,3 +67,32 @@ def merkle_sql() -> str:
       SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256,
         node AS folded_root, node = top.h AS verified
       FROM ({source}) x JOIN a{TREE_LEVELS} sub ON sub.g = x.g CROSS JOIN b{TOP_LEVELS} top"""
+
+
+def phrases_sql() -> str:
+    return f"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+      FROM documents),
+    cut AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'),
+      lambda x: x <> '') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+    grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM starts, range(1, {LONGEST + 1}) t(k) WHERE i + k - 1 <= len(w)
+      GROUP BY lang, k, phrase HAVING count(*) >= {LEAST}),
+    kept AS (SELECT * FROM grams g WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM grams o
+      WHERE o.lang = g.lang AND o.k > g.k AND 100 * o.f >= 100 * g.f
+        AND contains(' ' || o.phrase || ' ', ' ' || g.phrase || ' '))),
+    cuts AS (SELECT lang, phrase, f AS a, c,
+        array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+        array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS rest
+      FROM kept, range(1, {LONGEST}) t(c) WHERE c < k),
+    scored AS (SELECT lang, cuts.phrase, a, c, h.f AS l, r.f AS r, n,
+        (1000::HUGEINT * a * n // (h.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cuts JOIN grams h USING (lang) JOIN grams r USING (lang) JOIN totals USING (lang)
+      WHERE h.phrase = head AND r.phrase = rest),
+    best AS (SELECT * FROM scored QUALIFY
+      row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+      phrase, a, l, r, n, score FROM best QUALIFY rank <= {TOP}"""

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import (
-    bpe, decontamination, embeddings, language_model, merkle, near_dup, pii, quality, secrets,
-    url_filter, warc)
-from gazette.llm.checks import merkle_sql
+    bpe, decontamination, embeddings, language_model, merkle, near_dup, nearest, phrases, pii,
+    quality, secrets, url_filter, warc)
+from gazette.llm.checks import merkle_sql, phrases_sql
 from gazette.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,13 +65,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                              url_filter.has_listed_word(F.col("key")))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering_check(table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scores, op2_secrets, op3_pii, op4_quality, op5_decontamination, op6_embedding_dedup,
-    op7_near_dedup, op8_bpe, op9_warc, op10_url_filter, op12_merkle)}
+    op7_near_dedup, op8_bpe, op9_warc, op10_url_filter, op11_nearest,
+    op12_merkle, op13_phrases)}
 
 WORD_SPLIT = r"list_filter(string_split_regex(lower({text}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -109,4 +118,5 @@ ORACLE = {
       THEN 'block' ELSE 'allow' END) AS verdict
     FROM parts LEFT JOIN best USING (page_id)""",
     "op12_merkle": merkle_sql(),
+    "op13_phrases": phrases_sql(),
 }
