@@ -75,6 +75,24 @@ def word_ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     return grams
 
 
+def char_ngrams(text: Column, low: int, high: int) -> Column:
+    """All character n-grams inside space-padded, lower-cased words, word by word.
+
+    A padded word shorter than ``low`` is itself the only gram.
+    """
+    def of_size(padded: Column, size: int) -> Column:
+        length = F.length(padded)
+        spots = F.sequence(F.lit(1), F.greatest(length - size + 1, F.lit(1)))
+        cut = F.transform(spots, lambda spot: F.substring(padded, spot, F.lit(size)))
+        return cut if size == low else F.when(length >= size, cut).otherwise(
+            F.array().cast("array<string>"))
+
+    words = F.filter(F.split(F.lower(text), SPACE_RUN), lambda word: word != "")
+    padded = F.transform(words, lambda word: F.concat(F.lit(" "), word, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda word: F.concat(
+        *[of_size(word, size) for size in range(low, high + 1)])))
+
+
 def truncate_tokens(text: Column, limit: int) -> Column:
     """The first ``limit`` whitespace tokens, which is what a length-limited encoder sees."""
     tokens = F.filter(F.split(text, SPACE_RUN), lambda token: token != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,31 +20,36 @@ ERROR_COLUMNS = ("id", "y_true", "y_pred", "score", "headline_short", "descripti
 
 def confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``tn, fp, fn, tp`` in one pass."""
+    return df.groupBy(*by).agg(*_cells())
+
+
+def _cells() -> list[Column]:
     y, p = F.col("y_true"), F.col("y_pred")
-    return df.groupBy(*by).agg(
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if(S.is_false_positive(y, p)).alias("fp"),
-        F.count_if(S.is_false_negative(y, p)).alias("fn"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
-    )
+    return [F.count_if((y == 0) & (p == 0)).alias("tn"),
+            F.count_if(S.is_false_positive(y, p)).alias("fp"),
+            F.count_if(S.is_false_negative(y, p)).alias("fn"),
+            F.count_if((y == 1) & (p == 1)).alias("tp")]
 
 
 def f1_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``f1, accuracy, n`` of the positive class."""
-    cells = confusion(df, by)
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    return cells.select(*by, S.f1(tp, fp, fn).alias("f1"),
-                        S.accuracy(tn, fp, fn, tp).alias("accuracy"),
-                        (tn + fp + fn + tp).alias("n"))
+    """``f1, accuracy, n``: F1 of the positive class, the share of rows told right, and all rows.
+
+    Labels outside 0 and 1 count as rows, right where both sides agree.
+    """
+    y, p = F.col("y_true"), F.col("y_pred")
+    cells = df.groupBy(*by).agg(*_cells(), F.count_if(y == p).alias("hits"),
+                                F.count("*").alias("n"))
+    return cells.select(*by, S.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"),
+                        F.try_divide(F.col("hits").cast("double"), "n").alias("accuracy"), "n")
 
 
 def run_scores(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """What a finished labelling run reports: ``f1, n_samples, positive_rate``."""
-    cells = confusion(df, by)
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    n = tn + fp + fn + tp
-    return cells.select(*by, S.f1(tp, fp, fn).alias("f1"), n.alias("n_samples"),
-                        F.try_divide((fn + tp).cast("double"), n).alias("positive_rate"))
+    cells = df.groupBy(*by).agg(*_cells(), F.count_if(F.col("y_true") == 1).alias("positive"),
+                                F.count("*").alias("n_samples"))
+    return cells.select(*by, S.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"), "n_samples",
+                        F.try_divide(F.col("positive").cast("double"), "n_samples")
+                        .alias("positive_rate"))
 
 
 def with_error_flags(df: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +74,42 @@ def predict(model: NaiveBayes, docs: DataFrame, weighted: DataFrame) -> DataFram
     if len(model.classes) == 2:
         out = out.withColumn("score", F.col("_joint")[1] - F.col("_joint")[0])
     return out.drop("_joint", *[f"_ll_{c}" for c in model.classes])
+
+
+# --------------------------------------------------------------------------- on stored vectors
+
+def class_sums(rows: DataFrame, sizes: Mapping[int, int]
+               ) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Part -> weight mass of every feature in class 0 and class 1.
+
+    ``rows``: ``part, label, indices, values``; one pre-aggregated row per part and feature
+    travels, and the bounded vocabulary is gathered.
+    """
+    cells = rows.select("part", "label", F.explode(F.arrays_zip("indices", "values")).alias("c"))
+    one = F.col("label") == 1
+    sums = cells.groupBy("part", F.col("c.indices").alias("index")).agg(
+        F.sum(F.when(one, 0.0).otherwise(F.col("c.values"))).alias("sum_0"),
+        F.sum(F.when(one, F.col("c.values")).otherwise(0.0)).alias("sum_1")).toArrow()
+    part, index = sums.column("part").to_numpy(), sums.column("index").to_numpy()
+    out = {}
+    for p, size in sizes.items():
+        both = []
+        for name in ("sum_0", "sum_1"):
+            mass = np.zeros(size)
+            mass[index[part == p]] = sums.column(name).to_numpy()[part == p]
+            both.append(mass)
+        out[p] = (both[0], both[1])
+    return out
+
+
+def log_odds(sum_0: np.ndarray, sum_1: np.ndarray, class_counts: Mapping[int, int],
+             alpha: float = 1.0) -> tuple[np.ndarray, float]:
+    """The model as weights and intercept of a linear decision for class 1."""
+    def log_probs(mass: np.ndarray) -> np.ndarray:
+        return np.log(mass + alpha) - np.log(mass.sum() + alpha * len(mass))
+
+    ones = class_counts.get(1, 0)
+    others = sum(class_counts.values()) - ones
+    with np.errstate(divide="ignore"):
+        prior = float(np.log(ones) - np.log(others))
+    return log_probs(sum_1) - log_probs(sum_0), prior

@@ -20,16 +20,23 @@ ROWS_AT_ONCE = 128
 NOISE_DIGITS = 12
 
 
+def hash_tables(size: int, degree: int, components: int = COMPONENTS, seed: int = 42
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, sign) of every feature in each of ``degree`` count sketches."""
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, components, size=(degree, size + 1)),
+            rng.choice(np.array([-1.0, 1.0]), size=(degree, size + 1)))
+
+
 def sketch_rows(indices, values, size: int, degree: int, components: int = COMPONENTS,
-                coef0: float = COEF0, seed: int = 42) -> np.ndarray:
+                coef0: float = COEF0, seed: int = 42, tables=None) -> np.ndarray:
     """Sketches of sparse rows: dot products approximate (x . y + coef0) ** degree.
 
     Each of ``degree`` count sketches hashes every feature to a cell with a sign; multiplying
-    their spectra convolves them, which sketches the tensor power.
+    their spectra convolves them, which sketches the tensor power. ``tables`` may hold the hash
+    tables that the seed gives.
     """
-    rng = np.random.default_rng(seed)
-    cell = rng.integers(0, components, size=(degree, size + 1))
-    sign = rng.choice(np.array([-1.0, 1.0]), size=(degree, size + 1))
+    cell, sign = tables or hash_tables(size, degree, components, seed)
     lengths = np.array([len(i) for i in indices], dtype=np.int64)
     rows = len(lengths)
     # The constant feature comes last, at index ``size``.
@@ -64,10 +71,12 @@ def polynomial_sketch(arrays: DataFrame, size: int, degree: int, column: str = "
                           + [T.StructField("_sketch", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = hash_tables(size, degree, components, seed)  # once per task
         for batch in batches:
             for start in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.iloc[start:start + ROWS_AT_ONCE]
-                dense = sketch_rows(part["_i"], part["_v"], size, degree, components, coef0, seed)
+                dense = sketch_rows(part["_i"], part["_v"], size, degree, components, coef0, seed,
+                                    tables)
                 yield part[others].assign(_sketch=list(dense))
 
     ship_package(flat.sparkSession)

@@ -12,6 +12,7 @@ from gazette.operators.ordering import position_in_order
 TEST_BELOW = "33333333"
 TEST = "test"
 TRAIN = "train"
+VALIDATION = "validation"
 
 
 def seeded_hash(id_column: Column, seed: object) -> Column:
@@ -40,6 +41,15 @@ def with_split(df: DataFrame, seed: int = 42, test_size: float = 0.2) -> DataFra
     return df.withColumn("split", split_column(F.col("id"), seed, test_size))
 
 
+def with_three_way_split(df: DataFrame, seed: int = 42, test_size: float = 0.2,
+                         validation_size: float = 0.1) -> DataFrame:
+    """``train``, ``validation`` and ``test`` by one hash: the test rows are those of
+    ``with_split``, so a model tuned on the validation rows is still scored on unseen ones."""
+    head = F.substring(seeded_hash(F.col("id"), seed), 1, 8)
+    return df.withColumn("split", F.when(head < hash_threshold(test_size), TEST).when(
+        head < hash_threshold(test_size + validation_size), VALIDATION).otherwise(TRAIN))
+
+
 def scope_rows(df: DataFrame, scope: str) -> DataFrame:
     """``test``: the held-out rows of a split table; ``all``: every row."""
     if scope == "all":

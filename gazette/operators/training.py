@@ -1,26 +1,30 @@
-"""Training, grid search and prediction with Spark ML and the naive Bayes aggregates.
+"""Training, grid search and prediction.
 
-A grid is grouped by what its points share. Texts are counted once per tokenisation, a
-vocabulary is learned once per fold and setting from that fold's training rows only, and all
-classifiers of that setting are fitted on the same stored vectors, a few at a time.
+A grid is grouped by what its points share. Texts are counted once per tokenisation, the document
+frequencies of all folds come from one pass, and a vocabulary is learned per fold and setting from
+that fold's training rows only. All classifiers of a setting, in all folds, are fitted together:
+each of their solver's scans serves every C, class weight and fold (see ``linear``). Polynomial
+sketches are dense and go to Spark ML.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import scores as S
-from gazette.operators import naive_bayes
+from gazette.operators import linear, naive_bayes
 from gazette.operators.candidates import (
     LINEAR_SVM,
     LOG_REG,
@@ -31,13 +35,24 @@ from gazette.operators.candidates import (
 )
 from gazette.operators.sketch import polynomial_sketch
 from gazette.operators.splits import hash_folds, stratified_folds
-from gazette.operators.terms import TermSettings, fit_vocabulary, term_counts, term_weights
+from gazette.operators.term_rows import (
+    Vocabulary,
+    VocabularyTooLarge,
+    fold_frequencies,
+    fold_vocabulary,
+    marked_terms,
+    vector_rows,
+    written_parts,
+)
+from gazette.operators.terms import TermSettings
 from gazette.operators.vectors import (
     FeatureTable,
     category_index,
     fit_vectorizer,
     one_hot,
+    sparse_layout,
     sparse_rows,
+    stored_features,
     write_features,
 )
 from gazette.sources.scratch import written
@@ -95,29 +110,24 @@ def train_rows(fold: Column, without: int | None) -> Column:
 
 
 def estimator(point: Point, kind: str, n: int):
-    """A Spark ML classifier with the objective 0.5 |w|^2 + C x sum of weighted losses.
+    """Spark ML's logistic regression with the objective 0.5 |w|^2 + C x sum of weighted losses,
+    for dense sketches.
 
     Spark divides the losses by the sum of the weights, which is ``n``, so its regularisation
-    is 1 / (C n). The hinge loss of the SVM is Spark's own.
+    is 1 / (C n).
     """
-    shared = dict(featuresCol="features", labelCol="label", weightCol="weight",
-                  regParam=1.0 / (point.c * n), standardization=False, maxIter=MAX_ITER,
-                  tol=TOLERANCE)
-    if kind == LOG_REG:
-        return LogisticRegression(elasticNetParam=0.0, **shared)
-    if kind == LINEAR_SVM:
-        return LinearSVC(**shared)
-    raise ValueError(f"no estimator for {kind}")
+    if kind != LOG_REG:
+        raise ValueError(f"no estimator for {kind} on sketches")
+    return LogisticRegression(
+        featuresCol="features", labelCol="label", weightCol="weight", elasticNetParam=0.0,
+        regParam=1.0 / (point.c * n), standardization=False, maxIter=MAX_ITER, tol=TOLERANCE)
 
 
 def row_weight(label: Column, counts: dict[int, int], balanced: bool) -> Column:
     """1, or rows / (classes x rows of the class)."""
-    if not balanced:
-        return F.lit(1.0)
-    total = sum(counts.values())
     weight = F.lit(1.0)
-    for value, n in counts.items():
-        weight = F.when(label == value, F.lit(total / (len(counts) * n))).otherwise(weight)
+    for value, w in class_weights(counts, balanced).items():
+        weight = F.when(label == value, F.lit(w)).otherwise(weight)
     return weight
 
 
@@ -140,27 +150,105 @@ def predict(model: Transformer, features: DataFrame, keep: Sequence[str] = ("id"
 
 # --------------------------------------------------------------------------- features
 
-def _counts_of(data: Data, settings: TermSettings, text: str) -> DataFrame:
-    """``id, fold, term, tf``, written because every fold and every limit reads it."""
-    counts = term_counts(data.texts, settings, text)
-    return written(counts.join(data.marks.select("id", "fold"), "id"), "counts")
+@dataclass(frozen=True)
+class Counted:
+    """``id, label, fold, terms`` of one text column, and its document frequencies per fold."""
+
+    table: DataFrame
+    frequencies: DataFrame
+
+
+def _counts_of(data: Data, settings: TermSettings, text: str) -> Counted:
+    """Written, because every fold and every limit reads it."""
+    table = marked_terms(data.texts, data.marks, settings, text)
+    folds = sorted(f for f in data.label_counts if f != HOLDOUT)
+    return Counted(table, fold_frequencies(table, train_rows(F.col("fold"), None), folds))
+
+
+def _all_counts(data: Data, candidate: Candidate, settings: TermSettings) -> dict[str, Counted]:
+    return {text: _counts_of(data, settings, text) for text in candidate.fields if text != YEAR}
+
+
+def _vocabulary(data: Data, counted: Counted, settings: TermSettings, without: int | None
+                ) -> Vocabulary:
+    return fold_vocabulary(counted.frequencies, data.train_size(without), settings, without)
+
+
+def _part(without: int | None) -> int:
+    """Parts of stored features are named by the fold they leave out."""
+    return HOLDOUT if without is None else without
+
+
+def _text_vectors(data: Data, counted: Counted, settings: TermSettings,
+                  left_out: Sequence[int | None]) -> tuple[DataFrame, dict[int, int]]:
+    """(``part, id, label, fold, indices, values``, part -> vector length) of one text."""
+    try:
+        vocabularies = {_part(f): _vocabulary(data, counted, settings, f) for f in left_out}
+    except VocabularyTooLarge:
+        return _joined_vectors(data, counted, settings, left_out)
+    return (vector_rows(counted.table, vocabularies, settings, holdout=HOLDOUT),
+            {part: v.size for part, v in vocabularies.items()})
+
+
+def _joined_vectors(data: Data, counted: Counted, settings: TermSettings,
+                    left_out: Sequence[int | None]) -> tuple[DataFrame, dict[int, int]]:
+    """The same with a vocabulary that is joined, where it is too large to be broadcast."""
+    long = counted.table.select("id", "fold", F.explode("terms").alias("t")).select(
+        "id", "fold", "t.*")
+    frames, sizes = [], {}
+    for f in left_out:
+        learn = train_rows(F.col("fold"), f)
+        vectorizer = fit_vectorizer(long.where(learn).drop("fold"), data.train_size(f), settings)
+        marks = data.marks if f is None else data.marks.where(F.col("fold") != HOLDOUT)
+        rows = marks.join(sparse_rows(long.drop("fold"), vectorizer), "id", "left")
+        frames.append(rows.select(
+            F.lit(_part(f)).alias("part"), "id", "label", "fold",
+            F.coalesce("features.indices", F.array().cast("array<int>")).alias("indices"),
+            F.coalesce("features.values", F.array().cast("array<double>")).alias("values")))
+        sizes[_part(f)] = vectorizer.size
+    return _union(frames), sizes
 
 
 def build_features(data: Data, candidate: Candidate, settings: TermSettings,
-                   counts: dict[str, DataFrame], without: int | None) -> FeatureTable:
-    """Vectors of all rows, learned without the fold ``without``; the year comes last."""
-    learn = train_rows(F.col("fold"), without)
+                   counts: dict[str, Counted], without: int | None) -> FeatureTable:
+    """Vectors learned without the fold ``without``; the year comes last.
+
+    Of all rows, or without the test rows if a fold is left out: nothing scores them then.
+    """
+    part, marks = _part(without), data.marks
+    if without is not None:
+        marks = marks.where(F.col("fold") != HOLDOUT)
     parts = []
-    for table in counts.values():
-        vectorizer = fit_vectorizer(table.filter(learn).drop("fold"), data.train_size(without),
-                                    settings)
-        parts.append((sparse_rows(table.drop("fold"), vectorizer), vectorizer.size))
+    for counted in counts.values():
+        rows, size = _text_vectors(data, counted, settings, [without])
+        if len(candidate.fields) == 1:
+            return stored_features(rows, size[part], ["id", "label", "fold"])
+        parts.append((sparse_layout(rows, size[part], ["id"]), size[part]))
     if YEAR in candidate.fields:
+        learn = train_rows(F.col("fold"), without)
         known = data.texts.select("id", YEAR).join(data.marks.filter(learn).select("id"), "id")
         years = written(category_index(known, YEAR), "years")
         size = years.count()
         parts.append((one_hot(data.texts, YEAR, years, size), size))
-    return write_features(data.marks, parts, ["id", "label", "fold"])
+    return write_features(marks, parts, ["id", "label", "fold"])
+
+
+def _feature_parts(data: Data, candidate: Candidate, settings: TermSettings,
+                   counts: dict[str, Counted], left_out: Sequence[int | None]
+                   ) -> tuple[dict[int, DataFrame], dict[int, int]]:
+    """(part -> ``part, id, label, fold, indices, values``, part -> vector length): the features
+    of every fold left out, made in one pass over the terms where there is one text."""
+    if len(candidate.fields) == 1:
+        rows, sizes = _text_vectors(data, counts[candidate.fields[0]], settings, left_out)
+        return written_parts(rows, list(sizes)), sizes
+    tables = {_part(f): build_features(data, candidate, settings, counts, f) for f in left_out}
+    return ({part: t.arrays.select(F.lit(part).alias("part"), "id", "label", "fold",
+                                   "features.indices", "features.values")
+             for part, t in tables.items()}, {part: t.size for part, t in tables.items()})
+
+
+def _union(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
 
 
 def final_features(table: FeatureTable, candidate: Candidate, seed: int) -> DataFrame:
@@ -171,6 +259,58 @@ def final_features(table: FeatureTable, candidate: Candidate, seed: int) -> Data
                              components=candidate.components, seed=seed)
 
 
+# --------------------------------------------------------------------------- fitting
+
+@dataclass(frozen=True)
+class LinearModel:
+    """Weights of the features of one part; ``steps`` is None where nothing was iterated."""
+
+    weights: np.ndarray
+    intercept: float
+    steps: int | None = None
+    converged: bool | None = None
+
+
+LOSSES = {LOG_REG: linear.LOG, LINEAR_SVM: linear.SQUARED_HINGE}
+
+
+def class_weights(counts: dict[int, int], balanced: bool) -> dict[int, float]:
+    """Nothing, or rows / (classes x rows of the class)."""
+    total = sum(counts.values())
+    return {label: total / (len(counts) * n) for label, n in counts.items()} if balanced else {}
+
+
+def fit_points(data: Data, candidate: Candidate, points: Sequence[Point], left_out: Sequence[
+        int | None], parts: dict[int, DataFrame], sizes: dict[int, int],
+        tolerance: float | None = None) -> dict[tuple[int, int], LinearModel]:
+    """(place of the point, part) -> model, all of them fitted together.
+
+    The points share their features; the parts are the folds left out.
+    """
+    learn = _union(frame.where(train_rows(F.col("fold"), f))
+                   for f, frame in ((f, parts[_part(f)]) for f in left_out))
+    keys = [(i, f) for f in left_out for i in range(len(points))]
+    if candidate.kind == NAIVE_BAYES:
+        sums = naive_bayes.class_sums(learn, sizes)
+        return {(i, _part(f)): LinearModel(*naive_bayes.log_odds(
+            *sums[_part(f)], data.class_counts(f), points[i].alpha)) for i, f in keys}
+    problems = [linear.Problem(
+        _part(f), sizes[_part(f)], LOSSES[candidate.kind], points[i].c,
+        class_weights(data.class_counts(f), points[i].balanced)) for i, f in keys]
+    found = linear.solve(learn, problems, TOLERANCE if tolerance is None else tolerance)
+    return {(i, _part(f)): LinearModel(s.weights, s.intercept, s.steps, s.converged)
+            for (i, f), s in zip(keys, found, strict=True)}
+
+
+def linear_predictions(rows: DataFrame, model: LinearModel, kind: str) -> DataFrame:
+    """``id, label, y_pred, score``: probability of class 1, or the decision value."""
+    scored = linear.decisions(rows.select("id", "label", "indices", "values"), model.weights,
+                              model.intercept, "_z")
+    z = F.col("_z")
+    score = F.lit(1.0) / (1 + F.exp(-z)) if kind == LOG_REG else z
+    return scored.select("id", "label", (z > 0).cast("int").alias("y_pred"), score.alias("score"))
+
+
 # --------------------------------------------------------------------------- search
 
 @dataclass(frozen=True)
@@ -183,10 +323,7 @@ class Trained:
     fit_time_s: float
     predictions: DataFrame
     iterations: int | None = None
-
-    @property
-    def converged(self) -> bool | None:
-        return None if self.iterations is None else self.iterations < MAX_ITER
+    converged: bool | None = None
 
 
 def _f1_of(predictions: DataFrame) -> float:
@@ -195,6 +332,10 @@ def _f1_of(predictions: DataFrame) -> float:
                                 F.count_if((y == 1) & (p != 1)))).first()[0]
 
 
+def _f1(tp: int, fp: int, fn: int) -> float:
+    return 2.0 * tp / (2.0 * tp + fp + fn) if tp else 0.0
+
+
 def _in_threads(run, items: Sequence, parallelism: int) -> list:
     """Independent Spark jobs a few at a time, results in order."""
     spark = SparkSession.active()
@@ -202,38 +343,29 @@ def _in_threads(run, items: Sequence, parallelism: int) -> list:
         return list(pool.map(inheritable_thread_target(spark)(run), items))
 
 
-def _score_fold(data: Data, candidate: Candidate, settings: TermSettings, points: Sequence[Point],
-                counts: dict[str, DataFrame], fold: int, seed: int) -> list[float]:
-    if candidate.kind == NAIVE_BAYES:
-        table = counts["description"]
-        parts = _bayes_parts(data, settings, table, fold)
-        return [_f1_of(_bayes_predict(data, settings, table, fold, p.alpha, parts))
-                for p in points]
+def _score_setting(data: Data, candidate: Candidate, settings: TermSettings,
+                   points: Sequence[Point], counts: dict[str, Counted], folds: Sequence[int],
+                   seed: int) -> dict[tuple[int, int], float]:
+    """(place of the point, fold) -> F1 on the fold, for points that share their features."""
+    if candidate.degree is not None:
+        return {(i, f): _sketch_score(data, candidate, settings, p, counts, f, seed)
+                for f in folds for i, p in enumerate(points)}
+    parts, sizes = _feature_parts(data, candidate, settings, counts, folds)
+    models = fit_points(data, candidate, points, folds, parts, sizes)
+    held_out = _union(parts[f].where(F.col("fold") == f) for f in folds)
+    keys = list(models)
+    cells = linear.confusions(held_out, [(part, models[i, part].weights, models[i, part].intercept)
+                                         for i, part in keys])
+    return {key: _f1(*c) for key, c in zip(keys, cells, strict=True)}
+
+
+def _sketch_score(data: Data, candidate: Candidate, settings: TermSettings, point: Point,
+                  counts: dict[str, Counted], fold: int, seed: int) -> float:
     table = build_features(data, candidate, settings, counts, fold)
     features = final_features(table, candidate, seed)
-    # Spark ML caches its own blocks of the rows it fits, so the table is not persisted here.
-    learn = features.filter(train_rows(F.col("fold"), fold))
-    held_out = features.filter(F.col("fold") == fold)
-    class_counts = data.class_counts(fold)
-    return [_f1_of(predict(fit_classifier(learn, p, candidate.kind, class_counts), held_out))
-            for p in points]
-
-
-def _bayes_parts(data: Data, settings: TermSettings, counts: DataFrame, without: int | None):
-    learn = train_rows(F.col("fold"), without)
-    labels = data.marks.filter(learn).select("id", "label")
-    train_counts = counts.filter(learn).drop("fold")
-    vocabulary = fit_vocabulary(train_counts, data.train_size(without), settings)
-    sums = naive_bayes.term_sums(term_weights(train_counts, vocabulary, settings), labels)
-    return vocabulary, sums, naive_bayes.log_priors(labels)
-
-
-def _bayes_predict(data: Data, settings: TermSettings, counts: DataFrame, fold: int, alpha: float,
-                   parts) -> DataFrame:
-    vocabulary, sums, priors = parts
-    chosen = term_weights(counts.filter(F.col("fold") == fold).drop("fold"), vocabulary, settings)
-    rows = data.marks.filter(F.col("fold") == fold).select("id", "label")
-    return naive_bayes.predict(naive_bayes.from_sums(sums, priors, alpha), rows, chosen)
+    model = fit_classifier(features.filter(train_rows(F.col("fold"), fold)), point,
+                           candidate.kind, data.class_counts(fold))
+    return _f1_of(predict(model, features.filter(F.col("fold") == fold)))
 
 
 def grid_scores(data: Data, candidate: Candidate, folds: Sequence[int] | None = None,
@@ -244,21 +376,23 @@ def grid_scores(data: Data, candidate: Candidate, folds: Sequence[int] | None =
     for i, point in enumerate(candidate.grid):
         group = by_counting.setdefault(point.settings.counting, {})
         group.setdefault(point.settings, []).append(i)
-    texts = [f for f in candidate.fields if f != YEAR]
-    work = []
-    for settings_group in by_counting.values():
-        first = next(iter(settings_group))
-        counts = {text: _counts_of(data, first, text) for text in texts}
-        work += [(settings, indices, counts, fold)
-                 for settings, indices in settings_group.items() for fold in folds]
+
+    def count(group: dict[TermSettings, list[int]]) -> dict[str, Counted]:
+        return _all_counts(data, candidate, next(iter(group)))
+
+    groups = list(by_counting.values())
+    counted = _in_threads(count, groups, parallelism)
+    work = [(settings, indices, counts) for group, counts in zip(groups, counted, strict=True)
+            for settings, indices in group.items()]
 
     def run(item) -> list[tuple[int, int, float]]:
-        settings, indices, counts, fold = item
-        scores = _score_fold(data, candidate, settings, [candidate.grid[i] for i in indices],
-                             counts, fold, seed)
-        return [(i, fold, f1) for i, f1 in zip(indices, scores)]
+        settings, indices, counts = item
+        scores = _score_setting(data, candidate, settings, [candidate.grid[i] for i in indices],
+                                counts, folds, seed)
+        return [(indices[i], fold, f1) for (i, fold), f1 in scores.items()]
 
-    return [row for rows in _in_threads(run, work, parallelism) for row in rows]
+    found = [row for rows in _in_threads(run, work, parallelism) for row in rows]
+    return sorted(found, key=lambda row: (row[0], row[1]))
 
 
 def best_point(scores: Sequence[tuple[int, int, float]]) -> tuple[int, float]:
@@ -283,20 +417,22 @@ def fit_predict(data: Data, candidate: Candidate, point: Point, seed: int = 42)
 
 
 def fit_final(data: Data, candidate: Candidate, point: Point, seed: int = 42
-              ) -> tuple[DataFrame, int | None]:
-    """The predictions of ``fit_predict``, and the solver's iterations (None without a solver)."""
-    texts = [f for f in candidate.fields if f != YEAR]
-    counts = {text: _counts_of(data, point.settings, text) for text in texts}
-    if candidate.kind == NAIVE_BAYES:
-        table = counts["description"]
-        parts = _bayes_parts(data, point.settings, table, None)
-        return _bayes_predict(data, point.settings, table, HOLDOUT, point.alpha, parts).select(
-            "id", "label", "y_pred", "score"), None
-    table = build_features(data, candidate, point.settings, counts, None)
-    features = final_features(table, candidate, seed)
-    learn = features.filter(F.col("fold") != HOLDOUT)
-    model = fit_classifier(learn, point, candidate.kind, data.class_counts())
-    return predict(model, features.filter(F.col("fold") == HOLDOUT)), iterations_of(model)
+              ) -> tuple[DataFrame, int | None, bool | None]:
+    """The predictions of ``fit_predict``, the solver's iterations and whether it converged
+    (None without a solver)."""
+    counts = _all_counts(data, candidate, point.settings)
+    if candidate.degree is not None:
+        table = build_features(data, candidate, point.settings, counts, None)
+        features = final_features(table, candidate, seed)
+        model = fit_classifier(features.filter(F.col("fold") != HOLDOUT), point, candidate.kind,
+                               data.class_counts())
+        steps = iterations_of(model)
+        return predict(model, features.filter(F.col("fold") == HOLDOUT)), steps, steps < MAX_ITER
+    parts, sizes = _feature_parts(data, candidate, point.settings, counts, [None])
+    model = fit_points(data, candidate, [point], [None], parts, sizes)[0, HOLDOUT]
+    predictions = linear_predictions(parts[HOLDOUT].where(F.col("fold") == HOLDOUT), model,
+                                     candidate.kind)
+    return predictions, model.steps, model.converged
 
 
 def train(data: Data, candidate: Candidate, parallelism: int = 4, seed: int = 42) -> Trained:
@@ -306,10 +442,10 @@ def train(data: Data, candidate: Candidate, parallelism: int = 4, seed: int = 42
     if len(candidate.grid) > 1:
         index, cv_f1 = best_point(grid_scores(data, candidate, parallelism=parallelism, seed=seed))
     point = candidate.grid[index]
-    predictions, iterations = fit_final(data, candidate, point, seed)
+    predictions, iterations, converged = fit_final(data, candidate, point, seed)
     predictions = written(predictions, "predictions")
     return Trained(candidate.name, point, cv_f1, time.perf_counter() - start, predictions,
-                   iterations)
+                   iterations, converged)
 
 
 def metrics_rows(trained: Sequence[Trained], parameters: dict[str, object]) -> DataFrame:

@@ -100,8 +100,21 @@ def write_features(rows: DataFrame, parts: Sequence[tuple[DataFrame, int]],
         values.append(F.coalesce(F.col(f"_part{i}.values"), F.array().cast("array<double>")))
         width += size
     features = _layout(F.concat(*indices), F.concat(*values), width)
-    table = table.select(*dict.fromkeys(["id", *keep]), features.alias("features"))
-    spark = rows.sparkSession
+    return _stored(table.select(*dict.fromkeys(["id", *keep]), features.alias("features")), width)
+
+
+def sparse_layout(rows: DataFrame, size: int, keep: Sequence[str]) -> DataFrame:
+    """``keep..., features`` from ``indices, values``."""
+    return rows.select(*keep, _layout(F.col("indices"), F.col("values"), size).alias("features"))
+
+
+def stored_features(rows: DataFrame, size: int, keep: Sequence[str]) -> FeatureTable:
+    """Write rows that carry their ``indices, values`` already: nothing is joined or moved."""
+    return _stored(sparse_layout(rows, size, keep), size)
+
+
+def _stored(table: DataFrame, width: int) -> FeatureTable:
+    spark = table.sparkSession
     path = new_path(spark, "features")
     table.write.parquet(path)
     schema = T.StructType([

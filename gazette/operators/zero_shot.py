@@ -9,8 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gazette.shipping import ship_package
 
 # Candidate labels per target; the first one is the positive label.
 CANDIDATE_LABELS = {
@@ -35,12 +40,10 @@ def best_label(pairs: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
 
 
 def label_prototypes(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """``label, prototype``: mean vector per label, averaged per coordinate."""
-    cells = df.select(label, F.posexplode(vector).alias("pos", "value"))
-    means = cells.groupBy(label, "pos").agg(F.avg(F.col("value").cast("double")).alias("mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "mean")))
-    return means.groupBy(label).agg(
-        F.transform(ordered, lambda e: e["mean"]).alias("prototype"))
+    """``label, prototype``: mean vector per label; one partial sum per task and label travels."""
+    values = array_to_vector(F.col(vector).cast("array<double>"))
+    return df.where(F.col(vector).isNotNull()).groupBy(label).agg(
+        vector_to_array(Summarizer.mean(values)).alias("prototype"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -77,6 +80,18 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Se
     return pairs.withColumn("score", run(F.col(text), F.col("candidate")))
 
 
+def score_in_batches(pairs: DataFrame, make_scorer: Callable[[], Callable], batch_size: int = 256,
+                     text: str = "description") -> DataFrame:
+    """Score (text, candidate) pairs with a model that each Python worker loads once.
+
+    ``make_scorer`` loads the model and returns a function of two arrays, the texts and the
+    candidates of up to ``batch_size`` pairs; it may be a heavy import or a large file.
+    """
+    ship_package(pairs.sparkSession)
+    run = predict_batch_udf(make_scorer, return_type=T.DoubleType(), batch_size=batch_size)
+    return pairs.withColumn("score", run(F.col(text), F.col("candidate")))
+
+
 def zero_shot(df: DataFrame, target: str, scorer: Callable[[pd.Series, pd.Series], pd.Series]
               ) -> DataFrame:
     """``id, y_pred``: 1 where the positive label wins."""

@@ -9,6 +9,7 @@ from gazette.plans import (  # noqa: F401
     labelling,
     models,
     scoring,
+    serving,
     storage,
     texts,
 )

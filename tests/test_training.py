@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gazette.operators import candidates as C
-from gazette.operators import feature_sets, training
+from gazette.operators import feature_sets, term_rows, training
 from gazette.operators import terms as T
 from gazette.operators.sketch import sketch_rows
 
@@ -48,24 +48,89 @@ def test_search_and_refit(spark, kind):
     assert log["f1"] == 1.0 and log["best_params"]["analyzer"] == "word"
 
 
-def test_logistic_regression_minimises_the_stated_objective(spark):
-    """0.5 |w|^2 + C sum s_i log(1 + exp(-y z)): its gradient vanishes at Spark's solution."""
+@pytest.mark.parametrize("kind", [C.LOG_REG, C.LINEAR_SVM])
+def test_the_stated_objective_has_no_gradient_at_the_solution(spark, kind):
+    """0.5 |w|^2 + C sum s_i loss(y z), with the intercept penalised for the squared hinge only."""
     data = training.prepare(news(spark), k=3)
-    point = C.Point(WORDS, c=2.0, balanced=True)
-    counts = {"description": training._counts_of(data, WORDS, "description")}
-    model = C.Candidate("m", C.LOG_REG, (point,))
-    table = training.build_features(data, model, WORDS, counts, None)
-    learn = table.vectors.filter("fold <> -1")
-    fitted = training.fit_classifier(learn, point, C.LOG_REG, data.class_counts())
-    rows = learn.collect()
-    x = np.array([r["features"].toArray() for r in rows])
-    y = np.array([r["label"] for r in rows])
-    n_class = np.bincount(y)
-    weight = np.where(y == 1, len(y) / (2 * n_class[1]), len(y) / (2 * n_class[0]))
-    w, b = fitted.coefficients.toArray(), fitted.intercept
-    residual = 2.0 * weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
-    assert np.abs(w + x.T @ residual).max() < 2e-2
-    assert abs(residual.sum()) < 2e-2
+    grid = tuple(C.Point(WORDS, c=c, balanced=b) for c in (0.1, 2.0, 30.0) for b in (False, True))
+    model = C.Candidate("m", kind, grid)
+    counts = training._all_counts(data, model, WORDS)
+    parts, sizes = training._feature_parts(data, model, WORDS, counts, [None, 0, 1, 2])
+    fitted = training.fit_points(data, model, grid, [None, 0, 1, 2], parts, sizes, 1e-9)
+    assert len(fitted) == 24
+    for (i, part), found in fitted.items():
+        without = None if part == training.HOLDOUT else part
+        rows = parts[part].where(training.train_rows(F.col("fold"), without)).collect()
+        x = np.zeros((len(rows), sizes[part]))
+        for r, row in enumerate(rows):
+            x[r, row["indices"]] = row["values"]
+        y = np.array([r["label"] for r in rows])
+        weight = np.full(len(y), grid[i].c)
+        if grid[i].balanced:
+            weight *= len(y) / (2 * np.bincount(y)[y])
+        sign = 2 * y - 1
+        z = x @ found.weights + found.intercept
+        if kind == C.LOG_REG:
+            slope, bias = -weight * sign / (1 + np.exp(sign * z)), 0.0
+        else:
+            slope = -2 * weight * sign * np.maximum(1 - sign * z, 0)
+            bias = found.intercept
+        assert found.converged
+        assert np.abs(found.weights + x.T @ slope).max() < 1e-4
+        assert abs(bias + slope.sum()) < 1e-4
+
+
+def test_features_need_no_exchange_of_terms(spark):
+    data = training.prepare(news(spark), k=3)
+    model = C.Candidate("m", C.LOG_REG, points()[:1])
+    rows = term_rows.term_rows(data.texts, WORDS)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "term" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line)
+    counted = training._counts_of(data, WORDS, "description")
+    vocabulary = training._vocabulary(data, counted, WORDS, 0)
+    vectors = term_rows.vector_rows(counted.table, {0: vocabulary}, WORDS, holdout=-1)
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    folds = {r["fold"] for r in vectors.select("fold").distinct().collect()}
+    assert folds == {0, 1, 2}
+    table = training.build_features(data, model, WORDS, {"description": counted}, 0)
+    assert {r["fold"] for r in table.arrays.select("fold").distinct().collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("settings", [
+    T.TermSettings(low=1, high=2, min_df=0.02, max_df=0.8), T.TermSettings(min_df=0.02, tfidf=False),
+    T.TermSettings(min_df=0.02, sublinear=False, max_features=7),
+    T.TermSettings(analyzer=T.CHAR_WB, low=3, high=4, min_df=0.05)])
+def test_row_wise_weights_equal_the_joined_ones(spark, settings):
+    data = training.prepare(news(spark), k=3)
+    counted = training._counts_of(data, settings, "description")
+    for without in (None, 1):
+        learn = training.train_rows(F.col("fold"), without)
+        long = T.term_counts(data.texts, settings).join(data.marks.select("id", "fold"), "id")
+        vocabulary = T.fit_vocabulary(long.where(learn).drop("fold"), data.train_size(without),
+                                      settings)
+        want = {(r["id"], r["term"]): r["weight"] for r in T.term_weights(
+            long.drop("fold"), vocabulary, settings).collect()}
+        found = training._vocabulary(data, counted, settings, without)
+        names = found.terms.to_pylist()
+        part = -1 if without is None else without
+        got = {(r["id"], names[i]): v for r in term_rows.vector_rows(
+            counted.table, {part: found}, settings).collect()
+            for i, v in zip(r["indices"], r["values"])}
+        assert set(got) == set(want) and len(got) > 100
+        assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_a_vocabulary_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    data = training.prepare(news(spark), k=3)
+    model = C.Candidate("m", C.LINEAR_SVM, points())
+    want = training.grid_scores(data, model)
+    monkeypatch.setattr(term_rows, "MOST_TERMS", 3)
+    with pytest.raises(term_rows.VocabularyTooLarge):
+        training._vocabulary(data, training._counts_of(data, WORDS, "description"), WORDS, None)
+    assert training.grid_scores(data, model) == want
+    rows = training.fit_predict(data, model, model.grid[1]).collect()
+    assert len(rows) == 30 and all(r["y_pred"] == r["label"] for r in rows)
 
 
 def test_year_and_two_texts_lie_side_by_side(spark):
