@@ -1,8 +1,9 @@
 """Term counts, vocabularies and weights in long form ``(id, term, ...)``.
 
-Scale: the text is shuffled once, by document. Everything counted per document afterwards
-(terms, norms, vectors) then needs no further exchange, and the many grams of a text never
-travel. What does travel is one pre-aggregated row per term and task.
+Scale: the text is shuffled once, by document, and its terms are counted there. What travels next
+is one pre-aggregated row per term and task. ``term_weights`` joins the vocabulary and takes the
+norm in a window per document, which exchanges the known terms again where they were written in
+between: training keeps a document's terms in one row instead (see ``term_rows``).
 
 A vocabulary is bounded whatever the corpus size: every kept term is in at least
 ``min_df`` x n documents, so it has at most (mean distinct terms per document) / ``min_df``

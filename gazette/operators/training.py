@@ -475,10 +475,12 @@ def run_baselines(rows: DataFrame, candidates: Sequence[Candidate], k: int = 5,
 
 def run_ensemble(rows: DataFrame, candidates: Sequence[Candidate], top_k: int = 2, k: int = 5,
                  parallelism: int = 4, seed: int = 42, rank_by: str = "f1",
-                 max_members: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 max_members: int | None = None, test_size: float = 0.2
+                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ensemble row, member rows, voted predictions) of the best linear candidates.
 
-    ``rank_by="cv_f1"`` ranks the members without looking at the test rows.
+    ``rank_by="cv_f1"`` ranks the members without looking at the test rows. ``test_size`` is only
+    recorded: ``rows`` come with their split.
     """
     from gazette.operators import ensemble
     from gazette.operators.evaluation import f1_scores
@@ -502,7 +504,9 @@ def run_ensemble(rows: DataFrame, candidates: Sequence[Candidate], top_k: int =
         f1_scores(voted).select(F.col("f1").alias("ensemble_f1"),
                                 F.lit("linear_vote").alias("model")), "model")
     summary = summary.withColumns({"top_k_requested": F.lit(top_k),
-                                   "n_candidates_trained": F.lit(len(trained))})
+                                   "n_candidates_trained": F.lit(len(trained)),
+                                   "n_linear_candidates": F.lit(members.where("is_linear").count()),
+                                   "test_size": F.lit(test_size), "random_state": F.lit(seed)})
     return summary, members, voted
 
 
