@@ -47,6 +47,8 @@ SLACK = 0.8
 BLOCK = 1024
 CENTRAL_BANDS = 8
 OFFERS = 4
+# Elements of a set that are ranked at a time.
+ELEMENTS = 1 << 12
 # Entries of the lists of a block's shingles that are counted at a time.
 POSTINGS = 1 << 22
 
@@ -56,12 +58,25 @@ def shingle_set(hashes: WordHashes, text: str, n: int) -> np.ndarray:
 
 
 def superminhash(x: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """The signature of a non-empty set of distinct 64-bit hashes."""
+    """The signature of a non-empty set of distinct 64-bit hashes.
+
+    Elements are worked off some thousand at a time, each with its own permutation of the slots,
+    so memory does not grow with the set. No rank of a step is below its number: a chunk is done
+    once every slot is.
+    """
     least = np.full(size, np.inf)
+    for start in range(0, len(x), ELEMENTS):
+        _lower(least, x[start:start + ELEMENTS], size)
+    return least
+
+
+def _lower(least: np.ndarray, x: np.ndarray, size: int) -> None:
     slots = np.tile(np.arange(size, dtype=np.int16), (len(x), 1))
     every = np.arange(len(x))
     with np.errstate(over="ignore"):
         for step in range(size):
+            if least.max() <= step:
+                break
             z = mix(x + np.uint64(step + 1) * GOLDEN)
             rank = step + (z >> np.uint64(32)).astype(np.float64) / 2.0 ** 32
             drawn = step + (((z & np.uint64(0xFFFFFFFF)) * np.uint64(size - step))
@@ -69,9 +84,6 @@ def superminhash(x: np.ndarray, size: int = SIZE) -> np.ndarray:
             slot = slots[every, drawn]
             slots[every, drawn] = slots[:, step]
             np.minimum.at(least, slot, rank)
-            if least.max() <= step + 1:
-                break
-    return least
 
 
 def band_codes(signature: np.ndarray) -> np.ndarray:
@@ -254,11 +266,16 @@ def _linked(percent: int):
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         sets = group.column("x").combine_chunks()
         size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(rep)), size)
+        row = np.repeat(np.arange(len(rep), dtype=np.int32), size)
         first = np.cumsum(size) - size
-        # The rows that hold each shingle, in a row.
-        holders = row[np.argsort(code, kind="stable")]
+        # Shingles as small numbers, and the rows that hold each of them, in a row.
+        values = sets.flatten().to_numpy()
+        order = np.argsort(values)
+        holders = row[order]
+        values = values[order]
+        code = np.empty(len(values), np.int32)
+        code[order] = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]), dtype=np.int32)
+        del values, order, row
         many = np.bincount(code)
         begin = np.cumsum(many) - many
         a, b = [], []

@@ -219,3 +219,22 @@ def test_items_equal_brute_force(spark):
     assert left.count() == docs.count() - len({i for i, _ in want})
     assert decontamination.contained(no_documents(spark), bench).count() == 0
     assert decontamination.contained(docs, bench.limit(0)).count() == 0
+
+
+def test_signatures_of_large_sets_do_not_depend_on_the_chunks(monkeypatch):
+    import tracemalloc
+
+    x = np.unique(np.random.default_rng(5).integers(0, 2**63, 300_000, dtype=np.uint64))
+    small = x[:9000]
+    whole = near_dup.superminhash(small)
+    for size in (1, 7, 4096, 9000):
+        monkeypatch.setattr(near_dup, "ELEMENTS", size)
+        assert (near_dup.superminhash(small[:500]) == near_dup.superminhash(
+            small[:500][::-1])).all()
+    monkeypatch.setattr(near_dup, "ELEMENTS", 9000)
+    assert (near_dup.superminhash(small) == whole).all()
+    monkeypatch.setattr(near_dup, "ELEMENTS", 4096)
+    tracemalloc.start()
+    near_dup.superminhash(x)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
