@@ -70,3 +70,33 @@ def incremental_scores(spark, sf_dir):
     incremental.score_stream(stream, "political", out, checkpoint,
                              horizon_hours=24).awaitTermination()
     return spark.read.parquet(out).select("id", "y_true", "y_pred")
+
+
+@query("skipped_lines", f"""WITH {PREDICTIONS_SQL}
+  SELECT id::INTEGER AS row_index, y_true, y_pred FROM pred
+  WHERE model = 'count_linear_svm' AND id % 7 <> 0""")
+def skipped_lines(spark, sf_dir):
+    """A stored run as CSV, every seventh line damaged: those are left out."""
+    path = scratch.new_path(spark, "predictions-csv")
+    rows = predictions(spark, sf_dir).where("model = 'count_linear_svm'")
+    shown = F.when(F.col("id") % 7 == 0, "n.d.").otherwise(F.col("y_true").cast("string"))
+    rows.select(F.col("id").alias("row_index"), shown.alias("y_true"), "y_pred").write.csv(
+        path, header=True)
+    return P.read_predictions_csv(spark, path)
+
+
+RAGGED = "model STRING, f1 DOUBLE, n BIGINT, seed INT"
+
+
+@query("ragged_metrics", f"""WITH {PREDICTIONS_SQL}
+  SELECT model, 0.5::DOUBLE AS f1, id AS n, CASE WHEN id % 3 > 0 THEN 42 END::INTEGER AS seed,
+    CASE WHEN id % 3 = 2 THEN model || ',0.5,' || id || ',42,100,all' END AS line
+  FROM pred""")
+def ragged_metrics(spark, sf_dir):
+    """A metrics log whose rows have three, four or six fields under a header of three."""
+    path = scratch.new_path(spark, "ragged-csv")
+    line = F.concat("model", F.lit(",0.5,"), F.col("id").cast("string"), F.when(
+        F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, ",42").otherwise(",42,100,all"))
+    header = spark.createDataFrame([("model,f1,n",)], "value string")
+    header.union(predictions(spark, sf_dir).select(line)).write.text(path)
+    return metrics_log.read_metrics_csv(spark, path, RAGGED, too_long="line")

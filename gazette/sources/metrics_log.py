@@ -60,24 +60,35 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_metrics_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_metrics_csv(spark: SparkSession, path: str, schema: str, too_long: str | None = None
+                     ) -> DataFrame:
     """A metrics CSV whose later rows may have more fields than the header.
 
-    ``schema`` names the fields of the longest row. Short rows get NULLs. An absent file gives
-    an empty table.
+    ``schema`` names the fields of the longest row. Short rows get NULLs. A row that is longer
+    still keeps its first fields; the column ``too_long``, if named, holds its whole line, so that
+    nothing is lost. An absent file gives an empty table.
     """
     wanted = T.StructType.fromDDL(schema)
+    shown = T.StructType(list(wanted.fields))
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
+    if too_long is not None:
+        shown, texts = (t.add(too_long, T.StringType()) for t in (shown, texts))
     try:
-        lines = spark.read.options(header=False, escape='"', mode="PERMISSIVE").schema(
-            T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
-        ).csv(path)
+        # Whole lines are read, whichever columns a query goes on to use.
+        lines = spark.read.options(
+            header=False, escape='"', mode="PERMISSIVE", columnPruning=False,
+            columnNameOfCorruptRecord=too_long or "_corrupt_record").schema(texts).csv(path)
     except AnalysisException as error:
         if not is_absent(error):
             raise
-        return spark.createDataFrame([], wanted)
-    first = wanted.fields[0].name
+        return spark.createDataFrame([], shown)
+    first, line = wanted.fields[0].name, F.col(too_long) if too_long else F.lit(None)
     body = lines.filter(F.col(first).isNull() | (F.col(first) != first))
-    return body.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+    # A short row is no damage: only a line with fields to spare is told.
+    spare = F.size(F.split(line, ",")) > len(wanted.fields)
+    return body.select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields],
+        *([F.when(spare, line).alias(too_long)] if too_long else []))
 
 
 def write_report(df: DataFrame, path: str) -> None:
