@@ -291,6 +291,6 @@ def digests(docs: DataFrame) -> DataFrame:
     base = F.col("base")
     return found.select(
         "doc_id", *[span_count(base, k).alias(f"n_{k}") for k in KINDS],
-        F.size("added").cast("bigint").alias("n_added"),
         F.sha2(span_text(base), 256).alias("base_sha256"),
-        span_text(sorted_spans("base", "added")).alias("spans"))
+        span_text(sorted_spans("base", "added")).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"))

@@ -164,6 +164,6 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     found = find_spans(docs.select("doc_id", "text"), ranks_path, pattern, keep=["doc_id"])
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "random")
-    return found.select(
-        "doc_id", *[span_count(spans, k).alias(f"n_{k}") for k in KINDS],
-        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(spans).alias("spans"))
+    *fixed, added = [span_count(spans, k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *fixed, F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(spans).alias("spans"), added)
