@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from gazette.operators import candidates as C
 from gazette.operators import evaluation, splits, text_model, training, zero_shot
 from gazette.operators import terms as T
+from gazette.shipping import ship_package
 from gazette.streaming import incremental
 from test_training import news
 
@@ -96,6 +101,18 @@ def test_batched_inference_loads_its_model_once_per_worker(spark):
     assert got == {(i, c): i + float(c == "b") for i in range(50) for c in "ab"}
 
 
+def test_the_plans_can_be_imported_from_the_shipped_archive(spark, tmp_path):
+    ship_package(spark)
+    archive = SparkFiles.get("gazette.zip")
+    # A worker whose folder is not the repository's has nothing but the archive.
+    code = "import sys; sys.path.insert(0, sys.argv[1]); from gazette.plans import serving; " \
+           "print(serving.__file__)"
+    done = subprocess.run([sys.executable, "-I", "-c", code, archive], cwd=tmp_path,
+                          capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.startswith(archive)
+
+
 def test_three_way_split_keeps_the_test_rows(spark):
     rows = spark.range(2000)
     two = {r["id"] for r in splits.with_split(rows).where("split = 'test'").collect()}
