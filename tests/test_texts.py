@@ -131,3 +131,12 @@ def test_text_shuffles_once(spark):
     plan = T.term_counts(docs(spark, ["a b"]), settings)._jdf.queryExecution().toString()
     physical = plan.split("== Physical Plan ==")[1]
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_more_text_is_counted_in_more_parts(spark, monkeypatch):
+    rows = docs(spark, ["aa bb aa cc"] * 60 + [None, ""])
+    want = {(i, t): n for i in range(60) for t, n in (("aa", 2), ("bb", 1), ("cc", 1))}
+    monkeypatch.setattr(T, "PART_CHARS", 66, raising=False)
+    counts = T.term_counts(rows, T.TermSettings())
+    assert counts.rdd.getNumPartitions() == 11
+    assert {(r["id"], r["term"]): r["tf"] for r in counts.collect()} == want
