@@ -1,11 +1,17 @@
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gazette import shipping
 from gazette.operators import candidates as C
-from gazette.operators import feature_sets, term_rows, training
+from gazette.operators import feature_sets, linear, term_rows, training
 from gazette.operators import terms as T
 from gazette.operators.sketch import sketch_rows
 
@@ -243,3 +249,37 @@ def test_queries_search_whole_grids(spark, monkeypatch):
             queries[name](spark, "")
         assert searched == want, name
     assert len(models.C.candidates()) == 9 and "tfidf_log_reg_point" in queries
+
+
+def test_products_of_cells_add_up_in_their_order(monkeypatch):
+    monkeypatch.setattr(linear, "STRETCH", 7, raising=False)
+    rng = np.random.default_rng(1)
+    lists = [sorted(rng.choice(30, n, replace=False).tolist()) for n in (0, 20, 3, 0, 1, 9, 5, 0)]
+    cells = linear.Cells(pa.array(lists, pa.list_(pa.int32())),
+                         pa.array([rng.random(len(x)).tolist() for x in lists],
+                                  pa.list_(pa.float64())))
+    row = np.repeat(np.arange(8), [len(x) for x in lists])
+    index = np.concatenate(lists).astype(int)
+    value, weights, per_row = cells.by_row.value, rng.random(31), rng.random(8)
+    assert (cells.times(weights) == weights[-1] + np.bincount(
+        row, value * weights[index], 8)).all()
+    for squared, v in ((False, value), (True, value * value)):
+        got = cells.back(per_row, 30, squared)
+        assert (got[:-1] == np.bincount(index, v * per_row[row], 30)).all()
+        assert got[-1] == per_row.sum()
+    nothing = linear.Cells(pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.float64())))
+    assert not len(nothing.times(weights)) and not nothing.back(np.zeros(0), 30).any()
+
+
+def test_threads_ship_the_package_once(monkeypatch):
+    sent = []
+
+    def add(path):
+        time.sleep(0.2)
+        sent.append(path)
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="one", addPyFile=add))
+    monkeypatch.setattr(shipping, "_shipped", set())
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(shipping.ship_package, [session] * 4))
+    assert len(sent) == 1
