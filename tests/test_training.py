@@ -260,7 +260,7 @@ def test_products_of_cells_add_up_in_their_order(monkeypatch):
                                   pa.list_(pa.float64())))
     row = np.repeat(np.arange(8), [len(x) for x in lists])
     index = np.concatenate(lists).astype(int)
-    value, weights, per_row = cells.by_row.value, rng.random(31), rng.random(8)
+    value, weights, per_row = cells.value, rng.random(31), rng.random(8)
     assert (cells.times(weights) == weights[-1] + np.bincount(
         row, value * weights[index], 8)).all()
     for squared, v in ((False, value), (True, value * value)):
