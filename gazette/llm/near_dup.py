@@ -11,8 +11,9 @@
 4. Links of a bucket are searched without its pairs. In the first round every class is checked with
    one other, the most typical member of one of its buckets by the signatures. In later rounds every
    class offers, in each of its buckets, the most similar member of another component, and the
-   ``OFFERS`` best of all its buckets are checked. Rounds go on until they add no link, so most
-   links cost checks that grow with classes, not with pairs.
+   ``OFFERS`` best of all its buckets are checked. A large bucket is cut into chunks, anew in every
+   round, and a class looks into its own chunk only; the largest component there waits for the
+   others' offers. So offers grow with classes, not with pairs. Rounds go on until they add no link.
 5. Then nothing is left to chance offers: every pair of different components that shares a bucket
    and looks alike by its signatures is compared on the full sets, inside blocks. The sets go to the
    classes of a block that have such a partner there, pairs never become rows, and a block gives at
@@ -33,7 +34,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gazette.llm.common import (
-    GOLDEN, WordHashes, id_text, in_blocks, mix, over_blocks, shingle_hashes, with_results)
+    GOLDEN, WordHashes, id_text, in_blocks, mix, over_blocks, shingle_hashes,
+    small_batches, with_results)
 from gazette.llm.components import components
 from gazette.shipping import ship_package
 from gazette.sources.scratch import written
@@ -50,7 +52,7 @@ OFFERS = 4
 # Elements of a set that are ranked at a time.
 ELEMENTS = 1 << 12
 # Entries of the lists of a block's shingles that are counted at a time.
-POSTINGS = 1 << 22
+POSTINGS = 1 << 20
 
 
 def shingle_set(hashes: WordHashes, text: str, n: int) -> np.ndarray:
@@ -183,13 +185,17 @@ def _central(group: pa.Table) -> dict[str, np.ndarray] | None:
             "same": (slots[others] == slots[at]).sum(1)}
 
 
-def _nearest_pairs(members: DataFrame, slots: DataFrame, least: float, block: int) -> DataFrame:
-    """The best offers of each class: partners in other components that share a bucket."""
+def _nearest_pairs(members: DataFrame, slots: DataFrame, least: float, block: int, turn: int
+                   ) -> DataFrame:
+    """The best offers of each class: partners in other components that share a bucket.
+
+    Pairs that meet in no chunk of this round are left to later ones, and to ``_rest``.
+    """
     mixed = members.groupBy("bucket").agg(
         F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
     open_ = members.join(mixed, "bucket", "left_semi").select("bucket", "rep", "component")
-    dealt = in_blocks(open_, ["bucket"], "rep", block).join(slots, "rep")
-    offers = over_blocks(dealt, ["bucket", "lo", "hi"], _nearest(least),
+    dealt = in_blocks(open_, ["bucket"], "rep", block, salt=17 + turn, own=True).join(slots, "rep")
+    offers = over_blocks(dealt, ["bucket", "lo"], _nearest(least),
                          "rep bigint, hub bigint, same bigint")
     once = offers.groupBy("rep", "hub").agg(F.max("same").alias("same"))
     place = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("same"), "hub"))
@@ -198,7 +204,10 @@ def _nearest_pairs(members: DataFrame, slots: DataFrame, least: float, block: in
 
 
 def _nearest(least: float):
-    """For each row of a block the row of another component whose signature agrees most."""
+    """For each row of a block the row of another component whose signature agrees most.
+
+    Not for the block's largest component: of any pair across components one side is another's.
+    """
 
     def work(group: pa.Table) -> dict[str, np.ndarray] | None:
         rep = group.column("rep").to_numpy()
@@ -208,7 +217,8 @@ def _nearest(least: float):
         slots = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8)
         slots = slots.reshape(len(rep), -1)
         best, partner = np.full(len(rep), -1), np.zeros(len(rep), np.int64)
-        for i in range(len(rep)):
+        found, many = np.unique(component, return_counts=True)
+        for i in np.flatnonzero(component != found[many.argmax()]):
             same = (slots == slots[i]).sum(1)
             same[component == component[i]] = -1
             partner[i] = same.argmax()
@@ -347,14 +357,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
     slots = classes.groupBy("rep").agg(F.first("slots").alias("slots"))
     found: DataFrame | None = None
     tried: DataFrame | None = None
+    turn = 0
     while True:
         if tried is None:
             pairs = _central_pairs(members, slots, block)
         else:
-            pairs = _nearest_pairs(members, slots, SLACK * percent / 100, block).join(
+            pairs = _nearest_pairs(members, slots, SLACK * percent / 100, block, turn).join(
                 tried, ["a", "b"], "left_anti")
+            turn += 1
         pairs = written(pairs, "pairs")
-        new = written(confirmed(pairs, texts, n, percent), "links")
+        with small_batches(docs.sparkSession):
+            new = written(confirmed(pairs, texts, n, percent), "links")
         if tried is not None and new.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
@@ -362,7 +375,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id
         group = components(found).withColumnRenamed("node", "rep")
         members = written(links.join(group, "rep", "left").withColumn(
             "component", F.coalesce("component", "rep")), "members")
-    new = written(_rest(members, classes, texts, n, percent, block), "links")
+    with small_batches(docs.sparkSession):
+        new = written(_rest(members, classes, texts, n, percent, block), "links")
     if not new.isEmpty():
         found = new if found is None else found.union(new)
         group = components(found).withColumnRenamed("node", "rep")

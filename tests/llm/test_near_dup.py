@@ -139,6 +139,29 @@ def test_blocks_let_every_pair_meet(spark):
     assert met == {(a, b) for a, b in combinations(range(50), 2) if a % 2 == b % 2}
 
 
+def test_a_class_makes_one_offer_a_bucket_however_large(spark):
+    """Classes 0 to 299 of one bucket: 0 to 199 are one component, the others are alone."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, near_dup.SIZE).astype(np.uint8)
+    members, slots = [], []
+    for i in range(300):
+        own = base.copy()
+        own[rng.permutation(near_dup.SIZE)[:8]] ^= 1
+        members.append((7, 0, i, 0 if i < 200 else i))
+        slots.append((i, bytearray(own.tobytes())))
+    members = spark.createDataFrame(members, "bucket bigint, band int, rep bigint, component bigint")
+    slots = spark.createDataFrame(slots, "rep bigint, slots binary")
+    seen = []
+    for turn in (0, 1):
+        pairs = near_dup._nearest_pairs(members, slots, 0.5, 16, turn).collect()
+        asked = {(r.a, r.b) for r in pairs}
+        # Of 19 chunks every row looked into one; the large component only answers.
+        assert len(asked) <= 100 and all(b >= 200 for _, b in asked)
+        assert {b for _, b in asked} | {a for a, _ in asked} >= set(range(200, 300))
+        seen.append(asked)
+    assert seen[0] != seen[1]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(50)] + [
