@@ -140,3 +140,12 @@ def test_more_text_is_counted_in_more_parts(spark, monkeypatch):
     counts = T.term_counts(rows, T.TermSettings())
     assert counts.rdd.getNumPartitions() == 11
     assert {(r["id"], r["term"]): r["tf"] for r in counts.collect()} == want
+
+
+def test_character_grams_are_counted_in_smaller_parts_than_words(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART_CHARS", 200)
+    docs = spark.createDataFrame([(i, "some words here") for i in range(100)],
+                                 "id int, description string")
+    parts = {a: T.term_counts(docs, T.TermSettings(analyzer=a, low=3, high=5)).rdd
+             .getNumPartitions() for a in (T.WORD, T.CHAR_WB)}
+    assert parts == {T.WORD: 1 + 1500 // 200, T.CHAR_WB: 1 + 1500 // 50}
