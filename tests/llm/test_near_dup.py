@@ -104,6 +104,20 @@ def test_true_pairs_are_found_among_many_slightly_less_similar(spark):
     assert got == want
 
 
+def test_rows_with_sets_pass_to_python_in_small_batches(spark, monkeypatch):
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, near_dup.written
+
+    def noted(df, label):
+        seen.setdefault(label, set()).add(int(spark.conf.get(name)))
+        return write(df, label)
+
+    monkeypatch.setattr(near_dup, "written", noted)
+    usual = spark.conf.get(name)
+    near_dup.groups(odd_documents(spark, copies()))
+    assert all(max(seen[label]) <= 1024 for label in ("signatures", "sets", "links"))
+    assert spark.conf.get(name) == usual
+
+
 def test_copies_leave_and_rows_without_id_stay(spark):
     kept = near_dup.without_copies(odd_documents(spark, copies()))
     ids = [r.doc_id for r in kept.collect()]
