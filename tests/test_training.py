@@ -283,3 +283,54 @@ def test_threads_ship_the_package_once(monkeypatch):
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(shipping.ship_package, [session] * 4))
     assert len(sent) == 1
+
+
+def _sparse(spark, part: int, n: int, seed: int):
+    rng = np.random.default_rng(seed)
+    rows = [(part, int(rng.random() < 0.4 + 0.2 * (i % 2)), [i % 5, 5 + i % 3],
+             [1.0 + i % 4, float(rng.random())]) for i in range(n)]
+    return spark.createDataFrame(
+        rows, "part int, label int, indices array<int>, values array<double>").coalesce(1)
+
+
+def test_parts_of_one_task_stay_apart(spark):
+    frames = [_sparse(spark, part, 40, part) for part in range(3)]
+    rows = training._union(frames)
+    assert rows.rdd.getNumPartitions() == 3
+    assert rows.schema == frames[0].schema
+    assert rows.groupBy("part").count().count() == 3 and rows.count() == 120
+
+
+def test_problems_dealt_over_tasks_have_the_same_directions(spark):
+    rows = training._union([_sparse(spark, part, 60, part) for part in range(2)])
+    problems = [linear.Problem(part, 8, linear.LOG, c) for part in range(2) for c in (0.1, 1.0)]
+    asked = {i: (p, linear.DIRECTION, np.zeros(9), np.arange(9.0) + i, 60.0, 0.03, False)
+             for i, p in enumerate(problems)}
+    together = linear._scan(rows, asked, rows.rdd.getNumPartitions())
+    for i, ask in asked.items():
+        alone = linear._scan(rows, {i: ask})[i]
+        assert np.array_equal(together[i][linear.VECTOR], alone[linear.VECTOR])
+
+
+def test_a_direction_works_on_the_rows_with_curvature_alone(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 200
+    indices = pa.array([[i % 7, 7 + i % 5] for i in range(n)], pa.list_(pa.int32()))
+    values = pa.array([[1.0, float(x)] for x in rng.random(n)], pa.list_(pa.float64()))
+    cells, label = linear.Cells(indices, values), np.arange(n) % 2
+    problem = linear.Problem(0, 12, linear.SQUARED_HINGE, 1.0)
+    point = rng.standard_normal(13) * 3
+    sign, weight = linear._signs(label, problem)
+    _, slant, bend = linear.losses(problem.loss, sign * cells.times(point))
+    slope = cells.back(weight * slant * sign, 12) + problem.penalty * point
+    assert 0 < (bend != 0).sum() < n
+    seen, whole = [], linear._newton
+    monkeypatch.setattr(linear, "_newton", lambda c, curved, *rest: (
+        seen.append(c.n), whole(c, curved, *rest))[1])
+    got = linear._direction(cells, label, problem, point, slope, n, 0.03, False)
+    assert seen == [(bend != 0).sum()]
+    scale = problem.penalty + linear.SCALING * (np.maximum(
+        cells.back(weight * bend, 12, squared=True) + problem.penalty, 1e-12) - problem.penalty)
+    over_all = whole(cells, weight * bend, problem.penalty, scale, slope, np.zeros(13),
+                     0.03 * float(np.linalg.norm(slope)))
+    assert np.array_equal(got[linear.VECTOR], over_all)
