@@ -45,7 +45,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document in place of its text, and the digest of their bytes."""
-    coded = bpe.encode(docs, ranks_path(), public_tokenizers.PATTERN).drop("text")
+    # Written in between: a task holds one Python process with its codec, not two.
+    coded = written(bpe.encode(docs, ranks_path(), public_tokenizers.PATTERN).drop("text"),
+                    "token-ids")
     back = bpe.decode(coded, ranks_path(), public_tokenizers.PATTERN)
     return back.withColumns({"n_tokens": F.size("ids").cast("bigint"),
                              "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")

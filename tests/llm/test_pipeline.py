@@ -80,3 +80,14 @@ def test_the_last_stage_decodes_its_ids(spark):
         spark, docs, "").collect()}
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest()
                    for i, t in ((1, "é one\n two  3"), (2, ""), (3, None))}
+
+
+def test_ids_are_written_before_they_are_decoded(spark):
+    docs = spark.createDataFrame([(1, "some text here", "en", "s", 14), (2, None, "en", "s", None)],
+                                 COLUMNS)
+    found = corpus_pipeline.tokens_stage(spark, docs, "")
+    # One Python process a task: encoding has ended where decoding begins.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.n_tokens == len(r.ids)) for r in found.collect()) == [
+        (1, True), (2, True)]
