@@ -13,6 +13,7 @@ from gazette import shipping
 from gazette.operators import candidates as C
 from gazette.operators import feature_sets, linear, term_rows, training
 from gazette.operators import terms as T
+from gazette.operators import sketch as sketches
 from gazette.operators.sketch import sketch_rows
 
 WORDS = T.TermSettings(min_df=0.01, max_df=1.0)
@@ -177,6 +178,56 @@ def test_poly_candidate(spark):
     assert sum(r["y_pred"] == r["label"] for r in rows) >= 28
 
 
+def test_regression_on_sketches_never_stores_them(spark, monkeypatch):
+    """Dense rows take 64 KB each, and Spark ML keeps those it learns from."""
+    def dense(*_, **__):
+        raise AssertionError("dense rows were made")
+
+    monkeypatch.setattr(training, "polynomial_sketch", dense)
+    data = training.prepare(news(spark), k=3)
+    model = C.Candidate("p", C.LOG_REG, (C.Point(WORDS, balanced=True),), degree=2, components=256)
+    assert training.fit_predict(data, model, model.grid[0]).count() == 30
+
+
+@pytest.mark.parametrize("components", [64, 65])
+def test_spectral_regression_finds_the_objective_of_dense_sketches(spark, components):
+    rng = np.random.default_rng(3)
+    dense = rng.random((40, 12)) * (rng.random((40, 12)) < 0.4)
+    label = (dense[:, 0] + 0.3 * rng.random(40) > 0.25).astype(int)
+    rows = [(int(y), (np.flatnonzero(x).tolist(), x[x != 0].tolist()))
+            for x, y in zip(dense, label)]
+    arrays = spark.createDataFrame(
+        rows, "label int, features struct<indices: array<int>, values: array<double>>")
+    weight = {0: 2.0 * 40 / 3 / 40, 1: 0.7}
+    sketch = sketches.Sketch(12, 3, components)
+    model = sketches.fit_log_reg(arrays, sketch, weight, 40, 0.01, 1e-9, 500)
+    x = sketch_rows([r[1][0] for r in rows], [r[1][1] for r in rows], 12, 3, components)
+    sign = np.where(label == 1, 1.0, -1.0)
+    w = np.array([weight[y] for y in label])
+    z = x @ model.weights[:-1] + model.weights[-1]
+    slant = -w * sign / (1 + np.exp(sign * z)) / 40
+    slope = np.append(x.T @ slant + 0.01 * model.weights[:-1], slant.sum())
+    assert model.converged and np.abs(slope).max() < 1e-4
+    told = sketches.decisions(arrays.coalesce(1), model, "z").collect()
+    assert np.allclose([r["z"] for r in told], z)
+
+
+def test_labels_beyond_two_classes_still_learn_on_sketches(spark):
+    more = F.when(F.col("id") % 10 == 3, 2).otherwise(F.col("label"))
+    data = training.prepare(news(spark).withColumn("label", more), k=3)
+    model = C.Candidate("p", C.LOG_REG, (C.Point(WORDS),), degree=2, components=64)
+    assert training.fit_predict(data, model, model.grid[0]).count() == 30
+
+
+def test_terms_of_documents_are_never_broadcast(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(term_rows, "written", lambda df, label: taken.append(df) or df)
+    data = training.prepare(news(spark), k=3)
+    rows = term_rows.marked_terms(data.texts, data.marks, WORDS)
+    assert len(rows.collect()) == 120
+    assert "BroadcastHashJoin" not in taken[-1]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ensemble_run(spark):
     models = [C.Candidate("tfidf_log_reg", C.LOG_REG, points()[1:]),
               C.Candidate("count_linear_svm", C.LINEAR_SVM, points()[1:]),
