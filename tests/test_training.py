@@ -6,12 +6,13 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from gazette import shipping
 from gazette.operators import candidates as C
-from gazette.operators import feature_sets, linear, term_rows, training
+from gazette.operators import feature_sets, linear, term_rows, training, vectors
 from gazette.operators import terms as T
 from gazette.operators import sketch as sketches
 from gazette.operators.sketch import sketch_rows
@@ -221,13 +222,28 @@ def test_labels_beyond_two_classes_still_learn_on_sketches(spark):
 
 def test_terms_of_documents_are_never_broadcast(spark, monkeypatch):
     taken = []
-    monkeypatch.setattr(term_rows, "written", lambda df, label: taken.append(df) or df)
+    monkeypatch.setattr(term_rows, "written", lambda df, *_, **__: taken.append(df) or df)
     data = training.prepare(news(spark), k=3)
     rows = term_rows.marked_terms(data.texts, data.marks, WORDS)
     assert len(rows.collect()) == 120
     assert "BroadcastHashJoin" not in taken[-1]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_rows_are_stored_in_small_row_groups(spark, tmp_path):
+    """Readers take up to 4,096 rows of a row group at once."""
+    table = spark.range(0, 1500, 1, 1).select(
+        "id", F.lit(0).alias("label"), F.lit(0).alias("fold"), F.lit(1).alias("part"),
+        F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: i.cast("int")).alias("indices"),
+        F.transform(F.sequence(F.lit(1), F.lit(3000)),
+                    lambda i: F.rand(1) + i).alias("values"))
+    parts = term_rows.written_parts(table, [1])
+    stored = vectors.stored_features(table, 3001, ["id", "label", "fold"]).arrays
+    for frame in (parts[1], stored):
+        for file in frame.inputFiles():
+            meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+            assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 600
+
+
 def test_ensemble_run(spark):
     models = [C.Candidate("tfidf_log_reg", C.LOG_REG, points()[1:]),
               C.Candidate("count_linear_svm", C.LINEAR_SVM, points()[1:]),
