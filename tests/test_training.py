@@ -401,3 +401,35 @@ def test_a_direction_works_on_the_rows_with_curvature_alone(monkeypatch):
     over_all = whole(cells, weight * bend, problem.penalty, scale, slope, np.zeros(13),
                      0.03 * float(np.linalg.norm(slope)))
     assert np.array_equal(got[linear.VECTOR], over_all)
+
+
+def test_tasks_that_share_a_problem_solve_it_as_one_does(spark):
+    """Each row has a feature of its own: no task sees what the others' rows do to the solution."""
+    rng = np.random.default_rng(5)
+    rows = [(0, int(rng.random() < 0.3 + 0.4 * (i % 2)), [i % 4, 4 + i // 2 % 20, 24 + i],
+             [float(x) for x in rng.random(3) * 3]) for i in range(240)]
+    frame = spark.createDataFrame(
+        rows, "part int, label int, indices array<int>, values array<double>")
+    problems = [linear.Problem(0, 264, loss, c) for loss in (linear.LOG, linear.SQUARED_HINGE)
+                for c in (0.5, 20.0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one, many = (linear.solve(frame.repartition(k), problems) for k in (1, 6))
+    for a, b, p in zip(one, many, problems, strict=True):
+        assert a.converged and b.converged and b.steps <= a.steps + 2
+        assert abs(a.objective - b.objective) < 1e-5 * a.objective
+        left = linear.gradient(frame.repartition(3), p, b)
+        assert np.allclose(np.abs(left).max(), b.gradient, rtol=1e-6)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_decision_values_added_up_in_pairs_are_the_same(monkeypatch):
+    monkeypatch.setattr(linear, "STRETCH", 7)
+    rng = np.random.default_rng(1)
+    lists = [sorted(rng.choice(30, n, replace=False).tolist()) for n in (0, 20, 3, 0, 1, 9, 5, 0)]
+    cells = linear.Cells(pa.array(lists, pa.list_(pa.int32())),
+                         pa.array([rng.random(len(x)).tolist() for x in lists],
+                                  pa.list_(pa.float64())))
+    weights = rng.random(31)
+    assert np.allclose(cells.near(weights), cells.times(weights), rtol=1e-14)
+    kept = np.array([True, False, True, True, False, True, False, True])
+    assert np.array_equal(cells.of(kept).near(weights), cells.near(weights)[kept])
