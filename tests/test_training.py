@@ -433,3 +433,49 @@ def test_decision_values_added_up_in_pairs_are_the_same(monkeypatch):
     assert np.allclose(cells.near(weights), cells.times(weights), rtol=1e-14)
     kept = np.array([True, False, True, True, False, True, False, True])
     assert np.array_equal(cells.of(kept).near(weights), cells.near(weights)[kept])
+
+
+def test_naive_bayes_stores_no_features(spark, monkeypatch):
+    stored = []
+    write = training.written_parts
+    monkeypatch.setattr(training, "written_parts", lambda rows, parts: stored.append(parts) or
+                        write(rows, parts))
+    data = training.prepare(news(spark), k=3)
+    model = C.Candidate("m", C.NAIVE_BAYES, tuple(C.Point(WORDS, alpha=a) for a in (0.1, 1.0)))
+    counts = training._all_counts(data, model, WORDS)
+    folds = [None, 0, 1, 2]
+    parts, sizes = training._feature_parts(data, model, WORDS, counts, folds)
+    assert not stored
+    kept, kept_sizes = training._feature_parts(
+        data, C.Candidate("m", C.LOG_REG, model.grid), WORDS, counts, folds)
+    assert stored and sizes == kept_sizes
+    both = [{(r.part, r.id): r for r in training._learning_rows(
+        [(f, p[training._part(f)]) for f in folds]).collect()} for p in (parts, kept)]
+    assert both[0] == both[1] and {part for part, _ in both[0]} == {-1, 0, 1, 2}
+    for f in folds:
+        part = training._part(f)
+        for rows in (training.train_rows(F.col("fold"), f), F.col("fold") == part):
+            a, b = ({r.id: r for r in p[part].where(rows).collect()} for p in (parts, kept))
+            assert a == b and a
+
+
+def test_gradients_of_many_problems_take_one_scan(spark, monkeypatch):
+    rows = training._union([_sparse(spark, part, 60, part) for part in range(2)])
+    asked = [(linear.Problem(part, 8, linear.LOG, c), linear.Solution(
+        np.arange(8.0) * c, 0.5, 0.0, 0.0, 0, 0, True)) for part in range(2) for c in (0.1, 1.0)]
+    alone = [linear.gradient(rows, *one) for one in asked]
+    scans, scan = [], linear._scan
+    monkeypatch.setattr(linear, "_scan", lambda *a: scans.append(a) or scan(*a))
+    together = linear.gradients(rows, asked)
+    assert len(scans) == 1 and all(map(np.array_equal, alone, together))
+
+
+def test_the_refit_counts_no_terms_again(spark, monkeypatch):
+    counted, count = [], training._all_counts
+    monkeypatch.setattr(training, "_all_counts", lambda *a: counted.append(a[2].counting) or
+                        count(*a))
+    data = training.prepare(news(spark), k=3)
+    grid = tuple(C.Point(T.TermSettings(high=high, min_df=0.01, max_df=1.0), alpha=a)
+                 for high in (1, 2) for a in (0.1, 1.0))
+    trained = training.train(data, C.Candidate("m", C.NAIVE_BAYES, grid))
+    assert trained.predictions.count() == 30 and len(counted) == len(set(counted)) == 2
